@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.core.order import group_index
 from loomgraph.functions.seq import BASES, trim_at
 
 KMER = 10
@@ -31,7 +32,6 @@ def consensus(inserts: DataFrame, kmer: int = KMER) -> DataFrame:
     """
     g = grouped_inserts(inserts, kmer)
     size = g.groupBy("umi", "kmer").agg(F.sum("n").alias("n_reads"))
-    # a group with one distinct insert is its own consensus, up to foreign letters
     per_char = g.select("umi", "kmer", "n", F.posexplode(F.split("insert_seq", "")).alias("pos", "base"))
     sums = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b) for b in BASES]
     votes = per_char.groupBy("umi", "kmer", "pos").agg(*sums)
@@ -59,11 +59,8 @@ def numbered(consensi: DataFrame) -> DataFrame:
     )
 
 
-def per_umi(named: DataFrame) -> DataFrame:
-    """Reads and the ``consensus:reads`` list of each UMI in sub order."""
-    item = F.concat_ws(":", F.col("consensus"), F.col("n_reads").cast("string"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", item.alias("t")))), lambda s: s["t"]), ";")
-    return named.groupBy("umi").agg(F.sum("n_reads").alias("n_reads"), F.count(F.lit(1)).alias("n_sub"), parts.alias("parts"))
+def totals_per_umi(named: DataFrame) -> DataFrame:
+    return named.groupBy("umi").agg(F.sum("n_reads").alias("n_reads"), F.count(F.lit(1)).alias("n_sub"))
 
 
 def split_fqn(fqn: str = "fqn") -> list:
@@ -78,13 +75,15 @@ def trimmed(named: DataFrame, stops: Sequence[str], min_length: int) -> DataFram
 
 
 def fragments_per_umi(named: DataFrame, frags: DataFrame) -> DataFrame:
-    """All UMIs with their reads, and their fragments (``N`` without any)."""
-    totals = named.groupBy("umi").agg(F.sum("n_reads").alias("n_reads"))
-    item = F.struct("sub", F.concat_ws(":", "fragment", F.col("n_reads").cast("string")).alias("t"))
-    lists = frags.groupBy("umi").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]), ";").alias("fragments")
+    """Every UMI with its reads and one row per fragment; ``N`` without any.
+
+    The rows of a UMI are in ``sub`` order; they are not folded into one text.
+    """
+    totals = named.groupBy("umi").agg(F.sum("n_reads").alias("umi_reads"))
+    rows = frags.select("umi", "sub", "fragment", "n_reads")
+    return totals.join(rows, "umi", "left").select(
+        "umi", "umi_reads", "sub", F.coalesce("fragment", F.lit("N")).alias("fragment"), F.coalesce("n_reads", F.lit(0)).alias("n_reads")
     )
-    return totals.join(lists, "umi", "left").select("umi", "n_reads", F.coalesce("fragments", F.lit("N")).alias("fragments"))
 
 
 def fasta_lines(frags: DataFrame) -> DataFrame:
@@ -92,18 +91,10 @@ def fasta_lines(frags: DataFrame) -> DataFrame:
 
 
 def label_entries(assign: DataFrame) -> DataFrame:
-    """Rank of each annotation row in its UMI: sub reads, then name, descending.
+    """Place of each annotation row in its UMI: sub reads, then UEI reads, descending.
 
-    This long form is what scales; ``label_lists`` folds it into text.
+    The aligned lists of a label are these rows in order of ``place``.  Places
+    come from a global order, so a UMI with very many rows is no single task.
     """
-    w = Window.partitionBy("umi").orderBy(F.desc("sub_reads"), F.desc("uei_reads"), "fqn", "gene")
-    return assign.withColumn("place", F.row_number().over(w).cast("long"))
-
-
-def label_lists(assign: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Aligned ``;`` lists per UMI, ordered by sub reads and UEI reads."""
-    order = [(-F.col("sub_reads")).alias("o1"), (-F.col("uei_reads")).alias("o2"), "fqn", "gene"]
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).cast("string").alias(f"v_{c}") for c in columns])))
-    g = assign.groupBy("umi").agg(rows.alias("rows"))
-    out = [F.array_join(F.transform("rows", lambda r, c=c: r[f"v_{c}"]), ";").alias(c) for c in columns]
-    return g.select("umi", *out)
+    order = [F.col("umi"), F.desc("sub_reads"), F.desc("uei_reads"), F.col("fqn"), F.col("gene")]
+    return group_index(assign, ["umi"], order, "place")
