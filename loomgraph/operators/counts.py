@@ -225,9 +225,8 @@ def jaccard_pairs(calls: DataFrame, row: str, feature: str, first: Sequence[str]
     size = F.broadcast(x.groupBy(feature).agg(F.count(F.lit(1)).alias("k")))  # one row per listed gene
     sa = size.select(F.col(feature).alias("a"), F.col("k").alias("na"))
     sb = size.select(F.col(feature).alias("b"), F.col("k").alias("nb"))
-    grid = sa.where(F.col("a").isin(list(first))).crossJoin(sb.where(F.col("b").isin(list(second if second is not None else first))))
-    if second is None:
-        grid = grid.where("a < b")
-    full = grid.join(inter, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    listed = [(p, q) for p in first for q in (second if second is not None else first) if second is not None or p < q]
+    grid = calls.sparkSession.createDataFrame(listed, "a string, b string").join(sa, "a").join(sb, "b")
+    full = grid.join(F.broadcast(inter), ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     union = F.col("na") + F.col("nb") - F.col("both")
     return full.select("a", "b", "both", F.when(union > 0, F.col("both") / union).otherwise(0.0).alias("jaccard"))
