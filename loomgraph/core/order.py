@@ -61,18 +61,27 @@ def group_index(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n
     return joined.select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
 
 
-def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over all rows before the current one in a total order."""
+def running_sums(df: DataFrame, order: Sequence[str | Column], values: dict[str, str]) -> DataFrame:
+    """Sums over all rows before the current one in a total order.
+
+    ``values`` maps a value column to the name of its running sum.
+    """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     slices = _sorted_slices(df, cols)
-    starts = _slice_starts(slices, F.sum(value))
+    per = slices.groupBy("_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    starts = per.select("_part", *[F.coalesce(F.sum(f"_s_{v}").over(ahead), F.lit(0)).alias(f"_s_{v}") for v in values])
     w = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    local = slices.withColumn("_local", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    local = slices.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_l_{v}") for v in values])
     return local.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_local")).alias(name)
+        *df.columns, *[(F.col(f"_s_{v}") + F.col(f"_l_{v}")).alias(name) for v, name in values.items()]
     )
 
 
+def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    return running_sums(df, order, {value: name})
+
+
 def tie_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Per (groups, value): row count ``n_tied`` and rows before it in the group.
 

@@ -179,20 +179,24 @@ def distance_histogram(upper: DataFrame, points: DataFrame, coords: Sequence[str
 
 
 def rewire(edges: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Move a share of the edge occurrences to a wrong partner on the same side.
+    """Move an exact share of the edge occurrences to a wrong partner on the same side.
 
-    Occurrences are drawn without replacement by hash; a coin keeps one endpoint
-    and the other becomes a different node of its side.  Node numbers of each
-    side must be dense (0..n-1), as ``reindex_bipartite`` makes them per side.
+    Occurrences are drawn without replacement in hash order; a coin keeps one
+    endpoint and the other becomes a different node of its side.  Node numbers
+    of each side must be dense (0..n-1).
     """
-    n = edges.agg((F.max("i") + 1).alias("ni"), (F.max("j") + 1).alias("nj"))
-    occ = edges.select("i", "j", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).join(F.broadcast(n))
-    h = lambda tag: F.xxhash64("i", "j", "copy", F.lit(seed), F.lit(tag))
-    chosen = F.pmod(h(1), F.lit(1_000_000)) < int(fraction * 1_000_000)
-    keep_i = F.pmod(h(2), F.lit(2)) == 0
-    new_j = F.pmod(F.col("j") + 1 + F.pmod(h(3), F.greatest(F.col("nj") - 1, F.lit(1))), F.col("nj"))
-    new_i = F.pmod(F.col("i") + 1 + F.pmod(h(3), F.greatest(F.col("ni") - 1, F.lit(1))), F.col("ni"))
-    moved = occ.select(
+
+    def draw(tag: int) -> Column:
+        return F.xxhash64("i", "j", "copy", F.lit(seed), F.lit(tag))
+
+    n = edges.agg((F.max("i") + 1).alias("ni"), (F.max("j") + 1).alias("nj"), F.floor(F.sum("w") * fraction).alias("take"))
+    occ = edges.select("i", "j", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).withColumn("h", draw(1))
+    placed = dense_index(occ, ["h", "i", "j", "copy"], "place").join(F.broadcast(n))
+    chosen = F.col("place") < F.col("take")
+    keep_i = F.pmod(draw(2), F.lit(2)) == 0
+    new_j = F.pmod(F.col("j") + 1 + F.pmod(draw(3), F.greatest(F.col("nj") - 1, F.lit(1))), F.col("nj"))
+    new_i = F.pmod(F.col("i") + 1 + F.pmod(draw(3), F.greatest(F.col("ni") - 1, F.lit(1))), F.col("ni"))
+    moved = placed.select(
         F.when(chosen & ~keep_i, new_i).otherwise(F.col("i")).alias("i"), F.when(chosen & keep_i, new_j).otherwise(F.col("j")).alias("j")
     )
     return moved.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("w"))

@@ -150,8 +150,8 @@ def knn(
     def first_round(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"loc": [], "nbr": [], "d2": []})
-        r = r.sort_values("node_id")
-        d, who = _best(_matrix(q, coords), _matrix(r, coords), r["node_id"].to_numpy(), need)
+        r = r.sort_values("t_id")
+        d, who = _best(_matrix(q, coords), _matrix(r, [f"t_{c}" for c in coords]), r["t_id"].to_numpy(), need)
         return pd.DataFrame({"loc": np.repeat(q["loc"].to_numpy(), d.shape[1]), "nbr": who.ravel(), "d2": d.ravel()})
 
     def chunked(q: DataFrame) -> DataFrame:
@@ -159,8 +159,13 @@ def knn(
         load = q.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("parts"))
         load = F.broadcast(load)  # at most MAX_LEAVES rows
         left = q.join(load, "leaf").withColumn("part", F.pmod(F.xxhash64("loc"), F.col("parts")).cast("int"))
-        right = refs.join(load, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInPandas(first_round, schema)
+        right = refs.join(load, "leaf").select(
+            F.col("leaf").alias("t_leaf"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t_part"),
+            F.col("node_id").alias("t_id"),
+            *[F.col(c).alias(f"t_{c}") for c in coords],
+        )
+        return left.groupBy("leaf", "part").cogroup(right.groupBy("t_leaf", "t_part")).applyInPandas(first_round, schema)
 
     found = chunked(queries)
     if splits.leaves > 1:
