@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _c(x: Column | str) -> Column:
@@ -43,13 +44,13 @@ def huber(x: Column, delta: float) -> Column:
     return F.when(size <= delta, 0.5 * x * x).otherwise(delta * (size - 0.5 * delta))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided standard normal tail probability."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v is not None and v == v else None).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """Inverse of the standard normal distribution."""
     from statistics import NormalDist
@@ -93,6 +94,6 @@ def student_tail(t: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a or b is None else student_tail(float(a), float(b)) for a, b in zip(t, df)], dtype="float64")

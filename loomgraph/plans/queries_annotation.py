@@ -203,15 +203,44 @@ def approx_distinct_features(spark, folder):
     return r.agg(F.approx_count_distinct("fqn", 0.01).alias("n_fqn"), F.approx_count_distinct("gene", 0.01).alias("n_gene"), F.count(F.lit(1)).alias("entries"))
 
 
-@query("member_fanout", f"""WITH {T.READS}, m AS (SELECT umi0 AS clust, umi1_seq AS seq, count(*) AS n FROM reads GROUP BY ALL), {T.INSERTS},
-s AS (SELECT umi, substr(insert_seq, 1, 10) AS kmer, count(*) AS n_reads FROM inserts WHERE length(insert_seq) > 0 GROUP BY ALL)
-SELECT seq, kmer, CAST(sum(n_reads) AS BIGINT) AS n_reads FROM m JOIN s ON s.umi = m.clust GROUP BY ALL""", ("JN10", "JN11", "JN12"))
-def member_fanout(spark, folder):
-    """Sub-consensuses fan out to the member sequences of their cluster."""
-    r = T.reads(spark, folder)
-    members = r.select(F.col("umi0").alias("umi"), F.col("umi1_seq").alias("seq")).distinct()
+@query("matched_libraries", f"""WITH {T.INSERTS}, s AS (SELECT umi, substr(insert_seq, 1, 10) AS kmer, count(*) AS n_reads FROM inserts WHERE length(insert_seq) > 0 GROUP BY ALL),
+c AS (SELECT DISTINCT l_suppkey AS umi, l_partkey AS seq FROM lineitem), w AS (SELECT umi, p_size AS uei_clust, count(*) AS n_shared FROM c JOIN part ON seq = p_partkey GROUP BY ALL)
+SELECT umi, kmer, uei_clust, n_shared, n_reads * n_shared AS n_reads FROM s JOIN w USING (umi)""", ("JN10", "JN11", "JN12"))
+def matched_libraries(spark, folder):
+    """Sub-consensuses on the clusters of another library with the same barcodes."""
+    from loomgraph.plans.library import match_libraries
+
+    cdna = T.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("seq"), F.col("l_suppkey").alias("clust")).distinct()
+    uei = T.table(spark, folder, "part").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("clust"))
     subs = T.inserts(spark, folder).where(F.length("insert_seq") > 0).groupBy("umi", F.substring("insert_seq", 1, 10).alias("kmer")).agg(F.count(F.lit(1)).alias("n_reads"))
-    return members.join(subs, "umi").groupBy("seq", "kmer").agg(F.sum("n_reads").alias("n_reads"))
+    return match_libraries(cdna, uei, subs).select("umi", "kmer", "uei_clust", "n_shared", "n_reads")
+
+
+@query("quick_labels", """WITH m AS (SELECT l_suppkey AS umi, min(p_partkey % 100) AS match FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 3 GROUP BY 1)
+SELECT s_suppkey AS umi, s_nationkey AS n_reads, coalesce(match, -1) AS match FROM supplier LEFT JOIN m ON umi = s_suppkey""", ("T15",))
+def quick_labels(spark, folder):
+    from loomgraph.plans.library import quick_labels as ql
+
+    members = T.table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("umi"), F.col("l_partkey").alias("seq"))
+    known = T.table(spark, folder, "part").where("p_size < 3").select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 100).alias("index"))
+    totals = T.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("umi"), F.col("s_nationkey").alias("n_reads"))
+    return ql(totals, members, known)
+
+
+@query("coordinate_lines", f"WITH {T.points_sql(2)} SELECT CAST(node_id AS VARCHAR) || ',' || printf('%.10e', x0) || ',' || printf('%.10e', x1) AS value FROM points", ("SNK6",))
+def coordinate_lines(spark, folder):
+    from loomgraph.sources.exports import coordinate_lines as cl
+
+    return cl(T.points(spark, folder, 2), ("x0", "x1"))
+
+
+@query("attached_labels", """SELECT s_suppkey AS node_id, s_nationkey AS a, CASE WHEN s_acctbal > 0 THEN 1 END AS b FROM supplier""", ("SNK7", "SNK8", "T24"))
+def attached_labels(spark, folder):
+    from loomgraph.sources.exports import attach_labels
+
+    s = T.table(spark, folder, "supplier").withColumnRenamed("s_suppkey", "node_id")
+    rows = s.select("node_id", F.lit("a").alias("method"), F.col("s_nationkey").alias("label")).unionByName(s.where("s_acctbal > 0").select("node_id", F.lit("b").alias("method"), F.lit(1).alias("label")))
+    return attach_labels(s.select("node_id"), rows, ["a", "b"])
 
 
 # ---------------------------------------------------------------- hubs and cells
