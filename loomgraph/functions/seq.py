@@ -34,10 +34,9 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 
 def base4_encode(n: Column | str, width: int) -> Column:
-    """Fixed-width base-4 numeral of ``n`` written in the letters ACGT."""
-    n = _c(n)
-    digits = [F.substring(F.lit(BASES), (F.shiftright(n, 2 * i).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in reversed(range(width))]
-    return F.concat(*digits)
+    """Fixed-width base-4 numeral of ``n`` (at least 0) in the letters ACGT."""
+    numeral = F.lpad(F.conv(_c(n).cast("string"), 10, 4), width, "0")
+    return F.translate(F.right(numeral, F.lit(width)), "0123", BASES)
 
 
 def base4_decode(s: Column | str) -> Column:
@@ -46,7 +45,7 @@ def base4_decode(s: Column | str) -> Column:
     value = F.aggregate(
         F.split(F.translate(s, BASES, "0123"), ""),
         F.lit(0).cast("long"),
-        lambda acc, d: acc * 4 + d.try_cast("long") if hasattr(d, "try_cast") else acc * 4 + d.cast("long"),
+        lambda acc, d: acc * 4 + d.try_cast("long"),
     )
     return F.when(s.rlike("^[ACGT]+$"), value).otherwise(F.lit(-1).cast("long"))
 

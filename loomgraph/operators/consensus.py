@@ -31,8 +31,11 @@ def consensus(inserts: DataFrame, kmer: int = KMER) -> DataFrame:
     result is as long as the longest member.
     """
     g = grouped_inserts(inserts, kmer)
-    size = g.groupBy("umi", "kmer").agg(F.sum("n").alias("n_reads"))
-    per_char = g.select("umi", "kmer", "n", F.posexplode(F.split("insert_seq", "")).alias("pos", "base"))
+    size = g.groupBy("umi", "kmer").agg(F.sum("n").alias("n_reads"), F.count(F.lit(1)).alias("forms"), F.min("insert_seq").alias("only"))
+    # a group whose members are all alike is its own consensus
+    alike = size.where("forms = 1").select("umi", "kmer", F.regexp_replace("only", "[^ACGT]", "N").alias("consensus"), "n_reads")
+    mixed = size.where("forms > 1").select("umi", "kmer", "n_reads")
+    per_char = g.join(mixed, ["umi", "kmer"], "left_semi").select("umi", "kmer", "n", F.posexplode(F.split("insert_seq", "")).alias("pos", "base"))
     sums = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b) for b in BASES]
     votes = per_char.groupBy("umi", "kmer", "pos").agg(*sums)
     best = F.greatest(*BASES)
@@ -43,7 +46,7 @@ def consensus(inserts: DataFrame, kmer: int = KMER) -> DataFrame:
     called = votes.select("umi", "kmer", "pos", letter.alias("base"))
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda s: s["base"]), "")
     out = called.groupBy("umi", "kmer").agg(seq.alias("consensus"))
-    return out.join(size, ["umi", "kmer"])
+    return out.join(mixed, ["umi", "kmer"]).unionByName(alike)
 
 
 def numbered(consensi: DataFrame) -> DataFrame:

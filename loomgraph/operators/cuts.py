@@ -13,6 +13,7 @@ from loomgraph.core.order import dense_index, running_sums
 from loomgraph.core.session import cut
 from loomgraph.core.skew import hot_keys, lookup
 from loomgraph.operators.components import components, kcore
+from loomgraph.operators.linear import apply
 
 
 def sweep(sym: DataFrame, scores: DataFrame, min_side: int = 1) -> DataFrame:
@@ -55,35 +56,34 @@ def best_cuts(swept: DataFrame) -> DataFrame:
     return best.select("block", "b.*")
 
 
-def second_vectors(sym: DataFrame, nodes: DataFrame, rounds: int = 48, tol: float = 1e-4, seed: int = 1) -> DataFrame:
+def second_vectors(sym: DataFrame, nodes: DataFrame, rounds: int = 12, inner: int = 5, tol: float = 1e-4, seed: int = 1) -> DataFrame:
     """(node_id, block, score): second eigenvector of each block, as D^-1/2 x.
 
-    Power iteration on the normalised adjacency shifted to be positive; the
-    trivial vector sqrt(degree) is projected out per block.  A round is one join
-    of edges and vector, one sum per node and one per block.
+    Power iteration on the normalised adjacency, made positive by a loop on
+    every node.  After ``inner`` products the trivial vector sqrt(degree) is
+    projected out and the length reset, per block.  A product is one join of
+    edges and vector and one sum per node.
     """
     e = sym.where("i <> j").select("i", "j", "w")
     root = e.groupBy(F.col("i").alias("node_id")).agg(F.sqrt(F.sum("w")).alias("t"))
     deg = cut(nodes.select("node_id", "block").join(root, "node_id"))
-    scaled = lookup(lookup(e, root.select(F.col("node_id").alias("i"), F.col("t").alias("ti")), "i"), root.select(F.col("node_id").alias("j"), F.col("t").alias("tj")), "j")
-    scaled = cut(scaled.select("i", "j", (F.col("w") / (F.col("ti") * F.col("tj"))).alias("w")))
-    hot_edge, hot_block = hot_keys(scaled, "j"), hot_keys(deg, "block")
+    ti = deg.select(F.col("node_id").alias("i"), F.col("t").alias("ti"))
+    tj = deg.select(F.col("node_id").alias("j"), F.col("t").alias("tj"))
+    half = lookup(lookup(e, ti, "i"), tj, "j").select("i", "j", (F.col("w") / (F.col("ti") * F.col("tj")) / 2).alias("w"))
+    walk = cut(half.unionByName(deg.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0.5).alias("w"))))
+    hot_edge, hot_block = hot_keys(walk, "j"), hot_keys(deg, "block")
     t, x = F.col("t"), F.col("x")
-    state = deg.select("node_id", "block", "t", (F.pmod(F.xxhash64("node_id", F.lit(seed)), F.lit(2_000_003)) / 1_000_001.5 - 1.0).alias("x"))
+    state = deg.withColumn("x", F.pmod(F.xxhash64("node_id", F.lit(seed)), F.lit(2_000_003)) / 1_000_001.5 - 1.0)
     before = None
-    for turn in range(rounds):
-        sums = state.groupBy("block").agg((F.sum(t * x) / F.sum(t * t)).alias("m"), F.sum(x * x).alias("xx"), F.sum(t * x).alias("tx"), F.sum(t * t).alias("tt"))
-        size = F.sqrt(F.greatest(F.col("xx") - F.col("tx") * F.col("tx") / F.col("tt"), F.lit(1e-300)))
-        state = lookup(state, sums.select("block", "m", size.alias("s")), "block", "inner", hot_block).select("node_id", "block", "t", ((x - t * F.col("m")) / F.col("s")).alias("x"))
-        y = lookup(scaled, state.select(F.col("node_id").alias("j"), F.col("x").alias("xj")), "j", "inner", hot_edge)
-        y = y.groupBy(F.col("i").alias("node_id")).agg(F.sum(F.col("w") * F.col("xj")).alias("y"))
-        step = state.join(y, "node_id").select("node_id", "block", "t", F.col("x").alias("old"), ((x + F.col("y")) / 2).alias("x"))
-        if turn % 4 != 3:  # four rounds per materialised step
-            state = step.drop("old")
-            continue
-        step = cut(step)
-        value = step.agg(F.sum(x * F.col("old"))).first()[0] or 0.0
-        state = step.drop("old")
+    for _ in range(rounds):
+        sums = state.groupBy("block").agg(F.sum(x * x).alias("xx"), F.sum(t * x).alias("tx"), F.sum(t * t).alias("tt"))
+        left = F.greatest(F.col("xx") - F.col("tx") * F.col("tx") / F.col("tt"), F.lit(1e-300))
+        sums = cut(sums.select("block", (F.col("tx") / F.col("tt")).alias("m"), F.sqrt(left).alias("s")))
+        unit = lookup(state, sums, "block", "inner", hot_block).select("node_id", ((x - t * F.col("m")) / F.col("s")).alias("x"))
+        for _ in range(inner):
+            unit = apply(walk, unit, ["x"], hot_edge)
+        state = cut(deg.join(unit, "node_id"))
+        value = sums.agg(F.sum("s")).first()[0] or 0.0  # sum of the blocks' growth rates
         if before is not None and abs(value - before) <= tol * max(1.0, abs(value)):
             break
         before = value

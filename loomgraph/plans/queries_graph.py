@@ -330,5 +330,5 @@ def kg_components(spark, folder):
 @query("sparsest_cut_blocks", None, ("GR20", "GR32", "LA16"))
 def sparsest_cut_blocks(spark, folder):
     _, g = _kgraph(spark, folder)
-    blocks = cuts.sparsest_cut_blocks(g, min_size=150, threshold=0.05)
+    blocks = cuts.sparsest_cut_blocks(g, min_size=120, threshold=0.2)
     return blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))

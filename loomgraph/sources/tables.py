@@ -29,9 +29,10 @@ def revcomp_sql(x: str) -> str:
 def reads(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed reads: one row per read with form indices and three barcodes."""
     li = table(spark, folder, "lineitem")
-    return li.select(
+    # barcodes are written once per line, before the line becomes several reads
+    lines = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
-        F.explode(F.sequence(F.lit(1), F.col("l_linenumber"))).alias("rep"),
+        F.sequence(F.lit(1), F.col("l_linenumber")).alias("reps"),
         F.col("l_orderkey").alias("uei"),
         F.col("l_suppkey").alias("umi0"),
         F.col("l_partkey").alias("umi1"),
@@ -40,7 +41,9 @@ def reads(spark: SparkSession, folder: str) -> DataFrame:
         base4_encode("l_suppkey", 8).alias("umi0_seq"),
         base4_encode("l_partkey", 8).alias("umi1_seq"),
         base4_encode("l_orderkey", 10).alias("uei_seq"),
-    ).withColumn("read_id", F.col("line_id") * 10 + F.col("rep"))
+    )
+    reads_of = lines.withColumn("rep", F.explode("reps")).drop("reps")
+    return reads_of.withColumn("read_id", F.col("line_id") * 10 + F.col("rep"))
 
 
 READS = f"""reads AS (
