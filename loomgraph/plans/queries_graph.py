@@ -332,3 +332,39 @@ def sparsest_cut_blocks(spark, folder):
     _, g = _kgraph(spark, folder)
     blocks = cuts.sparsest_cut_blocks(g, min_size=120, threshold=0.2)
     return blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("map_communities", None, ("GR13", "GR23", "SRC15"))
+def map_communities(spark, folder):
+    from loomgraph.operators.communities import communities
+
+    _, g = _kgraph(spark, folder)
+    return communities(g, "map", rounds=5, levels=3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("modularity_communities", None, ("GR14", "ST20"))
+def modularity_communities(spark, folder):
+    from loomgraph.operators.communities import communities
+
+    _, g = _kgraph(spark, folder)
+    return communities(g, "modularity", rounds=5, levels=3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("spanning_forest", f"""WITH RECURSIVE {T.points_sql(2)}, near AS (SELECT a.node_id AS i, b.node_id AS j, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS d,
+  row_number() OVER (PARTITION BY a.node_id ORDER BY (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1), b.node_id) AS r FROM points a JOIN points b ON a.node_id <> b.node_id QUALIFY r <= 5),
+core AS (SELECT i, max(d) AS core FROM near GROUP BY 1), e AS (SELECT least(n.i, n.j) AS i, greatest(n.i, n.j) AS j, min(greatest(d, a.core, b.core)) AS d FROM near n JOIN core a ON a.i = n.i JOIN core b ON b.i = n.j GROUP BY ALL)
+SELECT count(*) - 1 AS n_edges_if_connected, (SELECT count(*) FROM e) AS n_reach FROM points""", ("GR15",))
+def spanning_forest(spark, folder):
+    from loomgraph.core.session import cut
+    from loomgraph.operators import density as D
+
+    reach = cut(D.mutual_reachability(T.points(spark, folder, 2), XY, 5))
+    forest = D.spanning_forest(reach).agg(F.count(F.lit(1)).alias("n_edges_if_connected"))
+    return forest.join(F.broadcast(reach.agg(F.count(F.lit(1)).alias("n_reach"))))
+
+
+@query("density_clusters", None, ("GR15", "GR16"))
+def density_clusters(spark, folder):
+    from loomgraph.operators import density as D
+
+    return D.cluster_points(T.points(spark, folder, 2), XY, 20, 5, levels=6).groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -217,3 +217,48 @@ def test_farthest_points(spark):
         low[chosen] = -np.inf
         chosen.append(int(np.argmax(low)))
     assert {r.node_id for r in R.farthest_points(df, ["x", "y"], 6).collect()} == set(chosen)
+
+
+@pytest.mark.parametrize("objective", ["map", "modularity"])
+def test_communities_of_joined_cliques(spark, objective):
+    from loomgraph.operators.communities import communities
+
+    rows = [(a, b, 1.0) for c in (0, 10, 20) for a, b in itertools.permutations(range(c, c + 6), 2)]
+    for a, b in ((5, 10), (15, 20), (25, 0)):
+        rows += [(a, b, 1.0), (b, a, 1.0)]
+    edges = spark.createDataFrame(rows, "i long, j long, w double")
+    found = {}
+    for r in communities(edges, objective, markov_time=1.0).collect():
+        found.setdefault(r.label, set()).add(r.node_id)
+    assert sorted(map(sorted, found.values())) == [list(range(c, c + 6)) for c in (0, 10, 20)]
+
+
+def test_density_clusters_of_two_blobs(spark):
+    from loomgraph.operators import density as D
+
+    rng = np.random.default_rng(7)
+    pts = np.vstack([rng.normal(size=(40, 2)) * 0.1, rng.normal(size=(40, 2)) * 0.1 + 3, [[1.5, 1.5], [-4.0, 5.0]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "node_id long, x double, y double")
+    reach = D.mutual_reachability(df, ["x", "y"], 45)
+    forest = D.spanning_forest(reach)
+    rows = forest.collect()
+    assert len(rows) == 81
+    # total weight against Kruskal
+    parent = list(range(82))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    total = 0.0
+    for r in sorted(reach.collect(), key=lambda r: (r.d, r.i, r.j)):
+        a, b = find(r.i), find(r.j)
+        if a != b:
+            parent[a] = b
+            total += r.d
+    assert abs(total - sum(r.d for r in rows)) < 1e-9
+    tight = D.spanning_forest(D.mutual_reachability(df, ["x", "y"], 6))
+    labels = {r.node_id: r.label for r in D.density_clusters(tight, df.select("node_id"), 20, 6).collect()}
+    groups = [{labels[i] for i in range(0, 40)} - {-1}, {labels[i] for i in range(40, 80)} - {-1}]
+    assert all(len(g) == 1 for g in groups) and groups[0] != groups[1]
