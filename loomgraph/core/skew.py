@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key with fewer rows than this is handled by one task without trouble.
 HOT_ROWS = 1_000_000
 # Only the heaviest keys are split off, so what is broadcast is bounded.
 MAX_HOT = 2_048
+# Estimated input below this cannot hold a key that overloads a task.
+SMALL_BYTES = 64 << 20
 
 
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, top: int = MAX_HOT) -> list:
@@ -19,6 +21,28 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, top: int = MAX_HOT)
     return [r[0] for r in counts.orderBy(F.desc("count"), key).limit(top).collect()]
 
 
+def known_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """True when the optimizer's size estimate alone rules out a heavy key (no job)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < limit
+    except Exception:  # noqa: BLE001 - no estimate, so look at the data
+        return False
+
+
+def _hot_of(rows: DataFrame, key: str) -> list:
+    """Hot keys of ``rows``, found on the table a chain of lookups started from.
+
+    A lookup never multiplies rows, so the first table's counts hold for the
+    whole chain and one job serves it.
+    """
+    base = rows.__dict__.get("_lookup_base", rows)
+    source = base if key in base.columns else rows
+    memo = source.__dict__.setdefault("_hot_keys", {})
+    if key not in memo:
+        memo[key] = [] if known_small(source) else hot_keys(source, key)
+    return memo[key]
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -33,21 +57,14 @@ def lookup(
     plain join.  ``hot`` may be given when it is known, as inside a loop.
     """
     if hot is None:
-        hot = hot_keys(rows, key)
+        hot = _hot_of(rows, key)
     if not hot:
-        return rows.join(table, key, how)
-    is_hot = F.col(key).isin(list(hot))
-    left_hot = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how)
-    cold = F.coalesce(~is_hot, F.lit(True))
-    left_cold = rows.where(cold).join(table.where(~is_hot), key, how)
-    return left_hot.unionByName(left_cold)
-
-
-def salt_of(*cols: str, buckets: int) -> Column:
-    """A repeatable salt from row identity (a retried task draws the same salt)."""
-    return F.pmod(F.xxhash64(*cols), F.lit(buckets))
-
-
-def two_step(df: DataFrame, keys: Sequence[str], finer: Sequence[str], first: list[Column], second: list[Column]) -> DataFrame:
-    """Aggregate by a finer key, then by ``keys``, for non-combinable aggregates."""
-    return df.groupBy(*keys, *finer).agg(*first).groupBy(*keys).agg(*second)
+        out = rows.join(table, key, how)
+    else:
+        is_hot = F.col(key).isin(list(hot))
+        left_hot = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how)
+        cold = F.coalesce(~is_hot, F.lit(True))
+        left_cold = rows.where(cold).join(table.where(~is_hot), key, how)
+        out = left_hot.unionByName(left_cold)
+    out.__dict__["_lookup_base"] = rows.__dict__.get("_lookup_base", rows)
+    return out

@@ -63,13 +63,12 @@ def local_distortion(spark, folder):
 
 @query("register_on_slice", None, ("RG21", "RG22", "RG23", "RG27", "T26", "T27"))
 def register_on_slice(spark, folder):
-    from loomgraph.operators.registration import capacities
-    from loomgraph.plans.queries_graph import _kgraph
     from loomgraph.plans.register import register
 
-    s = T.table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("node_id"), (F.col("c_acctbal") / 10000).alias("f"), (F.col("c_nationkey") / 25.0).alias("sx"), F.length("c_mktsegment").cast("double").alias("sy")
-    )
-    p, g = _kgraph(spark, folder)
-    out = register(p.select("node_id", ((F.col("x0") + 0.5) * 0.9).alias("f")), s, g, capacities(s, None, 0, "unit_upper"), ["f"], ["sx", "sy"], k=6, refine=1)
+    n = T.table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), (F.col("n_nationkey") / 25.0).alias("f"), (F.col("n_nationkey") % 5).cast("double").alias("sx"), F.floor(F.col("n_nationkey") / 5).cast("double").alias("sy"))
+    s = T.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("node_id"), ((F.col("s_acctbal") + 1000) / 11000).alias("f"))
+    half = s.select(F.col("node_id").alias("i"), (F.col("node_id") + 1).alias("j"), F.lit(1.0).alias("w")).join(s.select(F.col("node_id").alias("j")), "j", "left_semi")
+    edges = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    caps = n.select("node_id").join(F.broadcast(s.agg((F.floor(F.count(F.lit(1)) / 25) + 4).alias("capacity"))))
+    out = register(s, n, edges, caps, ["f"], ["sx", "sy"], k=8, refine=1, resolution=10, step=2)
     return out.final.select("node_id", "slice")

@@ -339,7 +339,7 @@ def map_communities(spark, folder):
     from loomgraph.operators.communities import communities
 
     _, g = _kgraph(spark, folder)
-    return communities(g, "map", rounds=5, levels=3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return communities(g, "map", rounds=3, levels=1).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("modularity_communities", None, ("GR14", "ST20"))
@@ -347,7 +347,7 @@ def modularity_communities(spark, folder):
     from loomgraph.operators.communities import communities
 
     _, g = _kgraph(spark, folder)
-    return communities(g, "modularity", rounds=5, levels=3).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return communities(g, "modularity", rounds=3, levels=1).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("spanning_forest", f"""WITH RECURSIVE {T.points_sql(2)}, near AS (SELECT a.node_id AS i, b.node_id AS j, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS d,

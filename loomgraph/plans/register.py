@@ -43,15 +43,17 @@ def _place(assigned: DataFrame, slices: DataFrame, coords: Sequence[str]) -> Dat
     return lookup(assigned.select("a", "b"), s, "b").select(F.col("a").alias("node_id"), F.col("b").alias("slice"), *coords)
 
 
-def solve(arcs: DataFrame, caps: DataFrame, resolution: float = 100.0) -> tuple[DataFrame, DataFrame]:
+def solve(arcs: DataFrame, caps: DataFrame, resolution: float = 100.0, step: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Auction on costs rounded to ``resolution`` levels; coarser levels need fewer rounds."""
     top = arcs.agg(F.max("cost")).first()[0] or 1.0
     units = arcs.select("a", "b", F.round(F.col("cost") / float(top) * resolution).cast("long").alias("unit_cost"))
-    got, rest, _ = X.auction(units, caps, exact=False)
+    got, rest, _ = X.auction(units, caps, step=step, exact=False)
     return got, rest
 
 
 def register(
-    nodes: DataFrame, slices: DataFrame, edges: DataFrame, caps: DataFrame, features: Sequence[str], coords: Sequence[str], k: int = 8, refine: int = 2, strength: float = 1.0
+    nodes: DataFrame, slices: DataFrame, edges: DataFrame, caps: DataFrame, features: Sequence[str], coords: Sequence[str], k: int = 8, refine: int = 2, strength: float = 1.0,
+    resolution: float = 100.0, step: int = 1,
 ) -> Registration:
     """Assign nodes to slice nodes by features, then smooth over the graph.
 
@@ -59,11 +61,11 @@ def register(
     the neighbours' places as candidates and their Dirichlet penalty to the
     costs; it stops when no node moves.
     """
-    nodes, slices, caps = cut(nodes), cut(slices), cut(caps)
+    nodes, slices, caps = cut(nodes), cut(slices), cut(caps.withColumnRenamed("node_id", "b"))
     n_slices = slices.count()
     arcs = cut(candidate_arcs(nodes, slices, features, min(k, n_slices)))
     while True:
-        got, rest = solve(arcs, caps)
+        got, rest = solve(arcs, caps, resolution, step)
         rest = cut(rest)
         if not rest.limit(1).count() or k >= n_slices:
             break
@@ -80,7 +82,7 @@ def register(
         costed = R.huber_costs(lookup(lookup(more, feats, "a"), where, "b"), features)
         pen = cut(R.dirichlet_penalty(costed, edges, placed, coords).select("a", "b", "cost", "penalty"))
         weight = R.adaptive_weight(pen).first()[0] or 0.0
-        got, _ = solve(pen.select("a", "b", (F.col("cost") + F.col("penalty") * float(weight * strength)).alias("cost")), caps)
+        got, _ = solve(pen.select("a", "b", (F.col("cost") + F.col("penalty") * float(weight * strength)).alias("cost")), caps, resolution, step)
         new = cut(_place(got, slices, coords))
         old = placed.select("node_id", F.col("slice").alias("before"))
         moved = new.join(old, "node_id").where("slice <> before").limit(1).count()
