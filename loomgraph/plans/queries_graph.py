@@ -330,7 +330,7 @@ def kg_components(spark, folder):
 @query("sparsest_cut_blocks", None, ("GR20", "GR32", "LA16"))
 def sparsest_cut_blocks(spark, folder):
     _, g = _kgraph(spark, folder)
-    blocks = cuts.sparsest_cut_blocks(g, min_size=120, threshold=0.2)
+    blocks = cuts.sparsest_cut_blocks(g, min_size=200, threshold=0.2)
     return blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -367,4 +367,4 @@ def spanning_forest(spark, folder):
 def density_clusters(spark, folder):
     from loomgraph.operators import density as D
 
-    return D.cluster_points(T.points(spark, folder, 2), XY, 20, 5, levels=6).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return D.cluster_points(T.points(spark, folder, 2), XY, 20, 5, levels=4).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
