@@ -60,18 +60,24 @@ class Splits:
         self.child[here] = (self._grow(pts[low], half), self._grow(pts[~low], leaves - half))
         return here
 
-    def assign(self, pts: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(pts), dtype=np.int64)
-        stack = [(self._root, np.arange(len(pts)))]
-        while stack:
-            node, rows = stack.pop()
-            if node < 0:
-                out[rows] = -node - 1
-                continue
-            low = pts[rows, self.axis[node]] < self.value[node]
-            stack.append((self.child[node][0], rows[low]))
-            stack.append((self.child[node][1], rows[~low]))
-        return out
+    def tables(self) -> tuple:
+        """Plain lists, which executors can read without this package."""
+        return self._root, self.axis, self.value, self.child
+
+
+def assign_leaves(tables: tuple, pts: np.ndarray) -> np.ndarray:
+    root, axis, value, child = tables
+    out = np.zeros(len(pts), dtype=np.int64)
+    stack = [(root, np.arange(len(pts)))]
+    while stack:
+        node, rows = stack.pop()
+        if node < 0:
+            out[rows] = -node - 1
+            continue
+        low = pts[rows, axis[node]] < value[node]
+        stack.append((child[node][0], rows[low]))
+        stack.append((child[node][1], rows[~low]))
+    return out
 
 
 def _matrix(pdf: pd.DataFrame, cols: Sequence[str]) -> np.ndarray:
@@ -137,11 +143,11 @@ def knn(
     wanted = max(1, min(MAX_LEAVES, n_refs // max(leaf_rows, 4 * need)))
     splits = Splits(_matrix(rows, coords), wanted)
     sc = points.sparkSession.sparkContext
-    table = sc.broadcast(splits)
+    table = sc.broadcast(splits.tables())
 
     @pandas_udf("long")
     def leaf_of(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(table.value.assign(_matrix(x, coords)))
+        return pd.Series(assign_leaves(table.value, _matrix(x, coords)))
 
     key = F.struct(*coords)
     refs = cut(refs.withColumn("leaf", leaf_of(key)))
