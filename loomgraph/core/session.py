@@ -34,16 +34,22 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "loomgraph")
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that every executor can read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so the
-    data outlives a lost executor.  Only where nothing is configured (tests on
-    one machine) a temporary folder is used.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Only a local
+    master, as in tests, may run without it and gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and drop its lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
