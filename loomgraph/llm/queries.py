@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import table
 from loomgraph.llm.linededup import line_report
+from loomgraph.llm.ngramjoin import join_documents
 from loomgraph.llm.secrets import RULES, secret_report
 from loomgraph.llm.topk import top_k
 
@@ -81,3 +82,20 @@ FROM m GROUP BY doc_id"""
 @query("op6_line_dedup", LINES_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(table(spark, folder, "documents"))
+
+
+SHINGLES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)"""
+
+
+@query("op8_ngram_jaccard_join", SHINGLES_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return join_documents(table(spark, folder, "documents"))
