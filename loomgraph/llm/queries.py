@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import table
+from loomgraph.llm.decontam import leaks
+from loomgraph.llm.linecrf import quality_report
 from loomgraph.llm.linededup import line_report
 from loomgraph.llm.ngramjoin import join_documents
 from loomgraph.llm.secrets import RULES, secret_report
@@ -99,3 +101,13 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
 @query("op8_ngram_jaccard_join", SHINGLES_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return join_documents(table(spark, folder, "documents"))
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_quality_crf")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
