@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import table
 from loomgraph.llm.decontam import leaks
+from loomgraph.llm.langmix import language_report
 from loomgraph.llm.linecrf import quality_report
 from loomgraph.llm.linededup import line_report
+from loomgraph.llm.mixing import mix
 from loomgraph.llm.ngramjoin import join_documents
 from loomgraph.llm.secrets import RULES, secret_report
 from loomgraph.llm.topk import top_k
@@ -111,3 +113,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_quality_crf")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_language_mixture")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return language_report(table(spark, folder, "documents"))
+
+
+@query("op5_target_mixing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
