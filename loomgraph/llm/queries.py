@@ -13,6 +13,7 @@ from loomgraph.llm.linecrf import quality_report
 from loomgraph.llm.linededup import line_report
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.ngramjoin import join_documents
+from loomgraph.llm.ngramlm import lm_report
 from loomgraph.llm.secrets import RULES, secret_report
 from loomgraph.llm.topk import top_k
 
@@ -123,3 +124,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_target_mixing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_lm_score")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_report(table(spark, folder, "documents"))
