@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import table
 from loomgraph.llm.decontam import leaks
+from loomgraph.llm import disclosure
 from loomgraph.llm.langmix import language_report
 from loomgraph.llm.linecrf import quality_report
 from loomgraph.llm.linededup import line_report
@@ -129,3 +130,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_score")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lm_report(table(spark, folder, "documents"))
+
+
+@query("op4_disclosure")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.report(table(spark, folder, "documents"))
