@@ -126,7 +126,7 @@ def report(docs: DataFrame) -> DataFrame:
     one = lambda s: F.concat_ws(":", F.element_at(kinds, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     per = per.select(
         "row",
-        *[F.size(F.filter("spans", lambda s, n=n: s["k"] == n)).cast("bigint").alias(f"n_{r.kind}") for n, r in enumerate(RULES)],
+        *[F.size(F.expr(f"filter(spans, s -> s.k = {n})")).cast("bigint").alias(f"n_{r.kind}") for n, r in enumerate(RULES)],
         F.array_join(F.transform(F.filter("spans", lambda s: s["k"] < len(RULES)), one), ",").alias("base"),
         F.array_join(F.transform("spans", one), ",").alias("spans"),
     )
