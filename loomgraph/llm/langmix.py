@@ -141,7 +141,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     got = ngram_counts(docs, lang, text).toPandas()  # languages x BUCKETS rows at most
     langs = sorted(got["lang"].unique().tolist())
     n = np.zeros((BUCKETS, len(langs)))
-    n[got["bucket"].to_numpy(), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = got["n"].to_numpy()
+    column = {x: i for i, x in enumerate(langs)}
+    n[got["bucket"].to_numpy(np.int64), np.array([column[x] for x in got["lang"]], np.int64)] = got["n"].to_numpy(np.int64)
     total = n.sum(0)
     log_p = np.log(n + SMOOTH) - np.log(total + SMOOTH * BUCKETS)
     return Model(langs, log_p, np.log(total / max(total.sum(), 1)))
