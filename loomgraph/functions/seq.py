@@ -34,9 +34,12 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 
 def base4_encode(n: Column | str, width: int) -> Column:
-    """Fixed-width base-4 numeral of ``n`` (at least 0) in the letters ACGT."""
-    numeral = F.lpad(F.conv(_c(n).cast("string"), 10, 4), width, "0")
-    return F.translate(F.right(numeral, F.lit(width)), "0123", BASES)
+    """Fixed-width base-4 numeral of ``n`` in the letters ACGT; an error when ``n`` is negative or needs more digits."""
+    n = _c(n)
+    numeral = F.lpad(F.conv(n.cast("string"), 10, 4), width, "0")
+    fits = (n >= 0) & (n < 4**width) if width < 31 else n >= 0
+    wrong = F.raise_error(F.concat(F.lit(f"no base-4 numeral of {width} digits for "), n.cast("string")))
+    return F.when(n.isNull() | fits, F.translate(numeral, "0123", BASES)).otherwise(wrong.cast("string"))
 
 
 def base4_decode(s: Column | str) -> Column:

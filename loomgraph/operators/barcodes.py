@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,6 +121,8 @@ def directional_clusters(uniq: DataFrame, length: int, max_rounds: int = 200) ->
         state = step.drop("moved")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"clusters still move after {max_rounds} rounds")
     out = uniq.select("seq_idx").join(state, "seq_idx", "left")
     return out.select("seq_idx", F.coalesce("clust", "seq_idx").alias("clust")), rounds
 
@@ -151,10 +154,20 @@ def collision_probability(composition: DataFrame) -> DataFrame:
     )
 
 
-def critical_count(p1: float, most: int = 10_000_000) -> int:
-    """Largest n with prod over k=1..n of (1 - k * p1) above one half."""
-    left, n = 1.0, 0
-    while left > 0.5 and n <= most:
-        n += 1
-        left *= 1.0 - n * p1
-    return n - 1
+def critical_count(p1: float, most: int = 10_000_000, step: int = 1 << 16) -> int:
+    """Largest n with prod over k=1..n of (1 - k * p1) above one half; an error beyond ``most``.
+
+    The product falls, so logarithms are added a block at a time.
+    """
+    if not 0.0 < p1 < 1.0:
+        raise ValueError("the collision probability must lie between 0 and 1")
+    total, first = 0.0, 1
+    while first <= most:
+        k = np.arange(first, first + step, dtype=float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = total + np.cumsum(np.log1p(-np.minimum(k * p1, 1.0)))
+        over = np.flatnonzero(left <= np.log(0.5))
+        if len(over) and first + int(over[0]) - 1 <= most:
+            return first + int(over[0]) - 1
+        total, first = float(left[-1]), first + step
+    raise ValueError(f"more than {most} barcodes are needed")

@@ -47,6 +47,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: Data
         if mark is not None and tuple(now) == mark:
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     every = edges.select(F.col(src).alias("node_id")).unionByName(edges.select(F.col(dst).alias("node_id")))
     if nodes is not None:
         every = every.unionByName(nodes.select("node_id"))
@@ -148,6 +150,8 @@ def kcore(edges: DataFrame, k: float, weight: str | None = None, max_rounds: int
             break
         step = lookup(live, weak, "src", "left_anti", hot)
         live = cut(lookup(step, weak.select(F.col("src").alias("dst")), "dst", "left_anti", hot))
+    else:
+        raise RuntimeError(f"the k-core is not settled after {max_rounds} rounds")
     return live.select(F.col("src").alias("node_id")).distinct(), rounds
 
 

@@ -50,6 +50,8 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         x = lookup(live, label.select(F.col("node_id").alias("ci"), F.col("comp").alias("a")), "ci", "left")
         x = lookup(x, label.select(F.col("node_id").alias("cj"), F.col("comp").alias("b")), "cj", "left")
         live = cut(x.select("i", "j", "d", F.coalesce("a", "ci").alias("ci"), F.coalesce("b", "cj").alias("cj")).where("ci <> cj"))
+    else:
+        raise RuntimeError(f"the forest is not done after {max_rounds} rounds")
     return chosen
 
 

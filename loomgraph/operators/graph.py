@@ -190,7 +190,7 @@ def rewire(edges: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
         return F.xxhash64("i", "j", "copy", F.lit(seed), F.lit(tag))
 
     n = edges.agg((F.max("i") + 1).alias("ni"), (F.max("j") + 1).alias("nj"), F.floor(F.sum("w") * fraction).alias("take"))
-    occ = edges.select("i", "j", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).withColumn("h", draw(1))
+    occ = edges.where("w >= 1").select("i", "j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w").cast("long"))).alias("copy")).withColumn("h", draw(1))
     placed = dense_index(occ, ["h", "i", "j", "copy"], "place").join(F.broadcast(n))
     chosen = F.col("place") < F.col("take")
     keep_i = F.pmod(draw(2), F.lit(2)) == 0

@@ -69,6 +69,8 @@ def filter_associations(
         kept = cut(step)
         if kept.count() == before:
             break
+    else:
+        raise RuntimeError(f"associations still fall after {max_rounds} rounds")
     return kept, rounds
 
 

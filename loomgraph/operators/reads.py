@@ -133,7 +133,7 @@ def rarefy(counts: DataFrame, row: str, feature: str, n: str, depth: int, seed:
     and ranked by a hash; a row's events are spread over tasks by salt first, so
     each task keeps only its ``depth`` smallest hashes before the final ranking.
     """
-    events = counts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    events = counts.where(F.col(n) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
     events = events.withColumn("_h", F.xxhash64(F.col(row), F.col(feature), F.col("_copy"), F.lit(seed)))
     events = events.withColumn("_salt", F.pmod(F.col("_h"), F.lit(64)))
     part = Window.partitionBy(row, "_salt").orderBy("_h", feature, "_copy")

@@ -191,16 +191,30 @@ def huber_costs(arcs: DataFrame, features: Sequence[str], delta: float = HUBER_D
     return arcs.withColumn("cost", total)
 
 
-def quantise(arcs: DataFrame, top: int = 1 << 60, n_rows: int = 1) -> DataFrame:
-    """Integer costs with room for the sum over all rows."""
-    best = arcs.agg(F.max(F.abs("cost")).alias("m")).first()["m"] or 1.0
-    scale = min(1e6, top / max(1.0, best * max(1, n_rows)))
-    return arcs.withColumn("unit_cost", F.round(F.col("cost") * float(scale)).cast("long"))
+def quantise(arcs: DataFrame, flow: int, top: int = 1 << 60) -> DataFrame:
+    """Integer costs, shifted to start at 0, whose sum over ``flow`` units stays below ``top``; halves go to even."""
+    low, high = arcs.agg(F.min("cost"), F.max("cost")).first()
+    shift = min(0.0, low or 0.0)
+    span = (high or 0.0) - shift
+    if span <= 0.0:
+        return arcs.withColumn("unit_cost", F.lit(0).cast("long"))
+    scale = max(1, min(1_000_000, int(top / (max(flow, 1) * span))))
+    return arcs.withColumn("unit_cost", F.rint((F.col("cost") - F.lit(shift)) * F.lit(float(scale))).cast("long"))
 
 
-def lexicographic(arcs: DataFrame, second: str, room: int) -> DataFrame:
-    """First cost decides, the second only breaks ties."""
-    return arcs.withColumn("unit_cost", F.col("unit_cost") * F.lit(room) + F.col(second))
+def lexicographic(arcs: DataFrame, second: str, flow: int, top: int = 1 << 60) -> DataFrame:
+    """The first cost decides and the second only breaks ties of whole assignments of ``flow`` units.
+
+    The second is folded to half its range, again and again, until the sums fit below ``top``.
+    """
+    base, low, high = arcs.agg(F.max("unit_cost"), F.min(second), F.max(second)).first()
+    most = (high or 0) - (low or 0)
+    while most > 0:
+        room = max(flow, 1) * most + 1
+        if ((base or 0) * room + most) * max(flow, 1) < top:
+            return arcs.withColumn("unit_cost", F.col("unit_cost") * F.lit(room) + (F.col(second) - F.lit(low)) % F.lit(most + 1))
+        most //= 2
+    return arcs
 
 
 def perturb(arcs: DataFrame, size: float, seed: int) -> DataFrame:
@@ -224,10 +238,11 @@ def dirichlet_penalty(arcs: DataFrame, edges: DataFrame, placed: DataFrame, coor
 
 
 def adaptive_weight(arcs: DataFrame) -> DataFrame:
-    """Median positive cost over median positive penalty."""
-    return arcs.agg(F.median(F.when(F.col("cost") > 0, F.col("cost"))).alias("c"), F.median(F.when(F.col("penalty") > 0, F.col("penalty"))).alias("p")).select(
-        F.when(F.col("p") > 0, F.col("c") / F.col("p")).otherwise(0.0).alias("weight")
-    )
+    """Median positive cost over median positive penalty: 0 without penalties, 1 / penalty without costs, 1e12 at most."""
+    mid = arcs.agg(F.median(F.when(F.col("cost") > 0, F.col("cost"))).alias("c"), F.median(F.when(F.col("penalty") > 0, F.col("penalty"))).alias("p"))
+    tiny = 1e-12
+    weight = F.when(F.coalesce("p", F.lit(0.0)) <= tiny, 0.0).when(F.coalesce("c", F.lit(0.0)) <= tiny, 1.0 / F.col("p")).otherwise(F.col("c") / F.col("p"))
+    return mid.select(F.least(weight, F.lit(1e12)).alias("weight"))
 
 
 def assignment_energy(edges: DataFrame, placed: DataFrame, coords: Sequence[str]) -> DataFrame:
@@ -263,12 +278,20 @@ def ensemble_moments(members: DataFrame, coords: Sequence[str]) -> DataFrame:
 
 
 def covariance_floor(moments: DataFrame, coords: Sequence[str], floor: float) -> DataFrame:
-    """Adds floor x median mean-variance (at least 1e-12) to every variance."""
+    """Adds floor x median mean-variance (at least 1e-12) to every variance.
+
+    A matrix with an entry that is no finite number becomes zero as a whole; the
+    median is over positive traces, and 1 without any.
+    """
     own = [f"cov_{c}_{c}" for c in coords]
-    fixed = moments
-    for c in [x for x in moments.columns if x.startswith("cov_")]:
-        fixed = fixed.withColumn(c, F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)))
-    mid = fixed.agg(F.greatest(F.median(sum((F.col(c) for c in own), F.lit(0.0)) / len(own)) * floor, F.lit(1e-12)).alias("_add"))
+    every = [x for x in moments.columns if x.startswith("cov_")]
+    bad = F.lit(False)
+    for c in every:
+        bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    fixed = moments.withColumn("_bad", bad)
+    fixed = fixed.select(*[F.when(F.col("_bad"), 0.0).otherwise(F.col(c)).alias(c) if c in every else F.col(c) for c in moments.columns])
+    trace = sum((F.col(c) for c in own), F.lit(0.0)) / len(own)
+    mid = fixed.agg(F.greatest(F.coalesce(F.median(F.when(trace > 0, trace)), F.lit(1.0)) * floor, F.lit(1e-12)).alias("_add"))
     out = fixed.join(F.broadcast(mid))
     for c in own:
         out = out.withColumn(c, F.col(c) + F.col("_add"))

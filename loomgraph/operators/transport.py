@@ -66,14 +66,19 @@ def auction(
         price = cut(full.where("n >= capacity").select(*keys, "b", F.col("low").alias("price")))
         held = held.drop("capacity")
         lost = cut(lost.unionByName(gone))
+    else:
+        raise RuntimeError(f"rows still bid after {max_rounds} rounds")
     out = held.join(arcs.select(*keys, "a", "b", "unit_cost"), [*keys, "a", "b"])
     rest = all_rows.join(held, [*keys, "a"], "left_anti")
     return out.select(*keys, "a", "b", "unit_cost"), rest, rounds
 
 
-def grow_candidates(k: int, add: int = 32, factor: int = 2, soft_cap: int = 256) -> int:
-    """Next candidate count of a blocked row: plus 32 or doubled, slowly past the cap."""
-    return k + add if k >= soft_cap else max(k + add, k * factor)
+def grow_candidates(k: int, places: int, soft_cap: int = 256) -> int:
+    """Next candidate count of a blocked row: doubled, 32 more at least, held at the cap when below it, ``places`` at most."""
+    wider = max(k + 32, min(places, 2 * k))
+    if 0 < k < soft_cap:
+        wider = min(wider, soft_cap)
+    return min(wider, places)
 
 
 def assignment_hash(assignment: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -154,13 +154,13 @@ def _raw(spark, folder):
     name = F.concat(F.lit("r"), no.cast("string"))
     q1 = F.concat(F.repeat(F.chr(cust % 25 + 53), F.lit(3)), F.chr(no % 30 + 43))
     q2 = F.repeat(F.chr(no % 30 + 48), F.lit(8))
-    m1 = o.select(F.lit(1).alias("mate"), no.alias("read_no"), name.alias("name"), S.base4_encode(cust, 4).alias("seq"), q1.alias("qual"))
-    m2 = o.select(F.lit(2).alias("mate"), no.alias("read_no"), name.alias("name"), S.base4_encode(no, 8).alias("seq"), q2.alias("qual"))
+    m1 = o.select(F.lit(1).alias("mate"), no.alias("read_no"), name.alias("name"), S.base4_encode(cust, 20).alias("seq"), q1.alias("qual"))
+    m2 = o.select(F.lit(2).alias("mate"), no.alias("read_no"), name.alias("name"), S.base4_encode(no, 20).alias("seq"), q2.alias("qual"))
     return m1.unionByName(m2)
 
 
 RAW = f"""raw AS (SELECT o_orderkey AS read_no, 'r' || CAST(o_orderkey AS VARCHAR) AS name,
-  {T.b4_sql('o_custkey', 4)} AS read1, {T.b4_sql('o_orderkey', 8)} AS read2,
+  {T.b4_sql('o_custkey', 20)} AS read1, {T.b4_sql('o_orderkey', 20)} AS read2,
   (3 * (o_custkey % 25 + 20) + o_orderkey % 30 + 10) / 4.0 AS q1, o_orderkey % 30 + 15 AS q2 FROM orders)"""
 
 

@@ -163,10 +163,12 @@ def huber_costs(spark, folder):
     return _arcs(spark, folder)[1].withColumn("cost", F.round("cost", 9))
 
 
-@query("quantised_costs", f"WITH {T.points_sql(2)}, {ARCS} SELECT a, b, CAST(round(cost * 1e6) AS BIGINT) * 1000 + b AS unit_cost FROM costs", ("RG14", "RG15"))
+@query("quantised_costs", f"WITH {T.points_sql(2)}, {ARCS} SELECT a, b, CAST(round_even(cost * 1e6, 0) AS BIGINT) * ((SELECT count(DISTINCT a) * (max(b) - min(b)) + 1 FROM costs)) + b - (SELECT min(b) FROM costs) AS unit_cost FROM costs", ("RG14", "RG15"))
 def quantised_costs(spark, folder):
-    q = R.quantise(_arcs(spark, folder)[1], n_rows=500)
-    return R.lexicographic(q.withColumn("second", F.col("b")), "second", 1000).select("a", "b", "unit_cost")
+    arcs = _arcs(spark, folder)[1]
+    flow = arcs.select("a").distinct().count()
+    q = R.quantise(arcs, flow)
+    return R.lexicographic(q.withColumn("second", F.col("b")), "second", flow).select("a", "b", "unit_cost")
 
 
 PENALTY = """pl AS (SELECT node_id, x1 AS y0, x0 AS y1 FROM points), mo AS (SELECT i AS a, sum(w) AS deg, sum(w * y0) AS s0, sum(w * y1) AS s1, sum(w * (y0 * y0 + y1 * y1)) AS s2 FROM kg JOIN pl ON pl.node_id = j GROUP BY 1),
@@ -187,7 +189,7 @@ def dirichlet_penalty(spark, folder):
     return _penalised(spark, folder).select("a", "b", F.round("penalty", 6).alias("penalty"))
 
 
-@query("adaptive_weight", f"WITH {GEO}, {PENALTY} SELECT round(median(cost) FILTER (cost > 0) / median(penalty) FILTER (penalty > 0), 6) AS weight FROM pen", ("RG20",))
+@query("adaptive_weight", f"WITH {GEO}, {PENALTY} SELECT round(least(median(cost) FILTER (cost > 0) / median(penalty) FILTER (penalty > 0), 1e12), 6) AS weight FROM pen", ("RG20",))
 def adaptive_weight(spark, folder):
     return R.adaptive_weight(_penalised(spark, folder)).select(F.round("weight", 6).alias("weight"))
 
@@ -233,7 +235,7 @@ def ensemble_moments(spark, folder):
     return m.select("node_id", *r6("mean_x", "mean_y", "cov_x_x"), (F.round("cov_x_y", 6) + 0.0).alias("cov_x_y"), *r6("cov_y_y"))
 
 
-@query("covariance_floor", f"""WITH {ENS}, m AS (SELECT node_id, covar_samp(x, x) AS a, covar_samp(y, y) AS b FROM mem GROUP BY 1), f AS (SELECT greatest(0.05 * median((a + b) / 2), 1e-12) AS k FROM m)
+@query("covariance_floor", f"""WITH {ENS}, m AS (SELECT node_id, covar_samp(x, x) AS a, covar_samp(y, y) AS b FROM mem GROUP BY 1), f AS (SELECT greatest(0.05 * coalesce(median((a + b) / 2) FILTER (a + b > 0), 1), 1e-12) AS k FROM m)
 SELECT node_id, round(a + k, 6) AS cov_x_x, round(b + k, 6) AS cov_y_y FROM m, f""", ("RG30",))
 def covariance_floor(spark, folder):
     m = R.covariance_floor(R.ensemble_moments(_members(spark, folder), ("x", "y")), ("x", "y"), 0.05)

@@ -332,11 +332,10 @@ def homo_presence(spark, folder):
 @query("slot_shuffle_null", None, ("SRT9", "SRT10", "ST14"))
 def slot_shuffle_null(spark, folder):
     st = S.exact_k(_slots(spark, folder), "hub", 8).withColumn("label", F.struct("m1", "m2")).select("slot", "hub", "label")
-    n = S.permutations_allowed(st.count(), 50, 5_000_000)
-    perm = S.shuffle_labels(st, "slot", "label", n, seed=3).select("perm", "hub", "slot", "label.m1", "label.m2")
+    perm = S.shuffle_labels(st, "slot", "label", 50, seed=3).select("perm", "hub", "slot", "label.m1", "label.m2")
     null = S.pair_presence(perm, "hub", "slot", ("m1", "m2"), ["perm"]).select("perm", F.concat_ws("/", "a", "b").alias("pair"), "value")
     observed = S.pair_presence(st.select("hub", "slot", "label.*"), "hub", "slot", ("m1", "m2")).select(F.concat_ws("/", "a", "b").alias("pair"), "value")
-    t = S.empirical_tails(null, observed, "pair")
+    t = S.empirical_tails(*S.whole_null(null, observed, "pair", 50), "pair")
     return t.select("pair", "observed", *r6("null_median", "p_enrich", "p_deplete", "p_two_sided"))
 
 
@@ -361,7 +360,7 @@ def neighbourhood_z(spark, folder):
     perm = S.shuffle_labels(labels, "node_id", "label", 20, seed=1)
     null = S.neighbourhood_events(near, perm, ["perm"]).select("perm", F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"), "value")
     obs = S.neighbourhood_events(near, labels).select(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"), "value")
-    return S.empirical_tails(null, obs, "pair").select("pair", "observed", *r6("z", "p_enrich"))
+    return S.empirical_tails(*S.whole_null(null, obs, "pair", 20), "pair").select("pair", "observed", *r6("z", "p_enrich"))
 
 
 @query("sample_gene_summary", f"""WITH {T.HUB}, s AS (SELECT c_mktsegment AS sample, gene, avg(n) AS m FROM hub_counts JOIN customer ON hub = c_custkey GROUP BY ALL)

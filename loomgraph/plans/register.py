@@ -51,6 +51,11 @@ def solve(arcs: DataFrame, caps: DataFrame, resolution: float = 100.0, step: int
     return got, rest
 
 
+def _all_placed(rest: DataFrame) -> None:
+    if rest.limit(1).count():
+        raise ValueError("the places' capacities leave nodes without a place")
+
+
 def register(
     nodes: DataFrame, slices: DataFrame, edges: DataFrame, caps: DataFrame, features: Sequence[str], coords: Sequence[str], k: int = 8, refine: int = 2, strength: float = 1.0,
     resolution: float = 100.0, step: int = 1,
@@ -69,9 +74,10 @@ def register(
         rest = cut(rest)
         if not rest.limit(1).count() or k >= n_slices:
             break
-        k = min(X.grow_candidates(k), n_slices)
+        k = X.grow_candidates(k, n_slices)
         wider = candidate_arcs(lookup(nodes, rest.select(F.col("a").alias("node_id")), "node_id", "left_semi"), slices, features, k)
         arcs = cut(arcs.join(rest, "a", "left_anti").unionByName(wider))
+    _all_placed(rest)
     base = placed = cut(_place(got, slices, coords))
     done = 0
     feats = nodes.select(F.col("node_id").alias("a"), *[F.col(f).alias(f"a_{f}") for f in features])
@@ -82,7 +88,8 @@ def register(
         costed = R.huber_costs(lookup(lookup(more, feats, "a"), where, "b"), features)
         pen = cut(R.dirichlet_penalty(costed, edges, placed, coords).select("a", "b", "cost", "penalty"))
         weight = R.adaptive_weight(pen).first()[0] or 0.0
-        got, _ = solve(pen.select("a", "b", (F.col("cost") + F.col("penalty") * float(weight * strength)).alias("cost")), caps, resolution, step)
+        got, rest = solve(pen.select("a", "b", (F.col("cost") + F.col("penalty") * float(weight * strength)).alias("cost")), caps, resolution, step)
+        _all_placed(rest)
         new = cut(_place(got, slices, coords))
         old = placed.select("node_id", F.col("slice").alias("before"))
         moved = new.join(old, "node_id").where("slice <> before").limit(1).count()

@@ -18,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def b4_sql(x: str, width: int) -> str:
     digits = [f"substr('ACGT', CAST(({x} >> {2 * i}) & 3 AS INT) + 1, 1)" for i in reversed(range(width))]
-    return "(" + " || ".join(digits) + ")"
+    return f"CASE WHEN {x} BETWEEN 0 AND {4**width - 1} THEN " + " || ".join(digits) + " ELSE error('too large for its numeral') END"
 
 
 def revcomp_sql(x: str) -> str:
