@@ -82,10 +82,10 @@ def inserts_of(parsed: DataFrame, clusters: DataFrame, s: LibrarySettings, k: in
     return mine.join(seqs, "read_id")
 
 
-def fragments(inserts: DataFrame, s: LibrarySettings) -> tuple[DataFrame, DataFrame]:
-    """Named sub-consensuses and their trimmed fragments."""
+def fragments(inserts: DataFrame, s: LibrarySettings, k: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Named sub-consensuses of side ``k`` and their fragments, trimmed to that side's least length."""
     named = K.numbered(K.consensus(inserts))
-    return named, K.trimmed(named, s.terminators, s.min_insert)
+    return named, K.trimmed(named, s.terminators, s.amp_len[k] or 0)
 
 
 def match_libraries(cdna: DataFrame, uei: DataFrame, subs: DataFrame) -> DataFrame:

@@ -33,7 +33,17 @@ class LibrarySettings:
     min_uei_per_assoc: int = 1
     min_uei_per_umi: int = 2
     terminators: list[str] = field(default_factory=list)
-    min_insert: int = 0
+    #: Least insert length of each side; None where a side has no inserts to keep.
+    amp_len: tuple[int | None, int | None] = (None, None)
+    insert_window: int = 25
+    max_mismatch: float = 0.0
+    max_mismatch_amplicon: float = 0.0
+    uei_classification: list[tuple[int, int]] | None = None
+    quickmatch: tuple[str | None, str | None] = (None, None)
+    uei_library: str | None = None
+    sequences_in_labels: bool = False
+    genome_index: str | None = None
+    gtf: str | None = None
 
     @classmethod
     def from_text(cls, text: str) -> LibrarySettings:
@@ -43,7 +53,13 @@ class LibrarySettings:
             return type(default)(f[flag][0]) if f.get(flag) else default
 
         stacks = {k: {int(flag[2:]): parse_stack(v[0]) for flag, v in f.items() if flag[:2] == f"-{k}" and flag[2:].isdigit()} for k in "ua"}
-        words = [w for v in f.get("-amplicon_terminators", []) for w in v.split(",") if w]
+        def word(flag: str) -> str | None:
+            return f[flag][0] if f.get(flag) else None
+
+        def whole(flag: str) -> int | None:
+            return int(f[flag][0]) if f.get(flag) else None
+
+        kinds = word("-uei_classification")
         return cls(
             f.get("-source_for", []),
             f.get("-source_rev", []),
@@ -55,8 +71,17 @@ class LibrarySettings:
             int(number("-min_reads_per_assoc", 2)),
             int(number("-min_uei_per_assoc", 1)),
             int(number("-min_uei_per_umi", 2)),
-            words,
-            int(number("-min_fragment_length", 0)),
+            [w for w in (word("-amplicon_terminate") or "").split(",") if w],
+            (whole("-filter_umi0_amp_len"), whole("-filter_umi1_amp_len")),
+            int(number("-filter_amplicon_window", 25)),
+            float(number("-max_mismatch", 0.0)),
+            float(number("-max_mismatch_amplicon", 0.0)),
+            [(int(a), int(b)) for a, b in (p.split(",")[:2] for p in kinds.split(";"))] if kinds else None,
+            (word("-filter_umi0_quickmatch"), word("-filter_umi1_quickmatch")),
+            word("-uei_matchfilepath"),
+            "-add_sequences_to_labelfiles" in f,
+            word("-STARindexdir"),
+            word("-gtffile"),
         )
 
 

@@ -11,6 +11,7 @@ from loomgraph.operators import reads as R
 from loomgraph.operators.seqform import min_length, parse_form, parse_stack
 from loomgraph.plans import library
 from loomgraph.sources.fastq import read_fastq
+from loomgraph.operators import consensus as K
 from loomgraph.sources.settings import EmbeddingOptions, LibrarySettings, parse_options, parse_settings
 
 PAIR = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -179,3 +180,39 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).where("for_index = 0").count() == 20
     ingest.count_forms(ingest.pair_stream(spark, str(tmp_path / "in")), forms, [], "forms_now", str(tmp_path / "s3")).awaitTermination()
     assert spark.table("forms_now").where("for_index = -1").first().n == 10
+
+
+# The two kinds of settings files that users ship, with the same flags.
+CDNA = """-source_for ../R1_cdna.fastq
+-source_rev ../R2_cdna.fastq
+-seqform_for A_29:39
+-seqform_rev U_GCTNWWNN_2:10
+-seqform_rev U_GCTNWWNN_3:11
+-amplicon_terminate NNNNN,GTTCAGACGTGT
+-min_mean_qual 30
+-filter_umi0_amp_len 10
+-filter_umi1_amp_len 12
+-u0 *,0,0:revcomp
+-a0 *,0,0
+-uei_classification 0,1;2,0
+-add_sequences_to_labelfiles
+-uei_matchfilepath ..//uei//
+"""
+
+
+def test_settings_flags():
+    s = LibrarySettings.from_text(CDNA)
+    assert s.source_for == ["../R1_cdna.fastq"] and len(s.rev_forms) == 2
+    assert s.terminators == ["NNNNN", "GTTCAGACGTGT"]
+    assert s.amp_len == (10, 12) and s.insert_window == 25
+    assert s.uei_classification == [(0, 1), (2, 0)] and s.sequences_in_labels and s.uei_library == "..//uei//"
+    assert s.uxis[0][0].revcomp and set(s.amplicons) == {0}
+    bare = LibrarySettings.from_text("-source_for a\n-min_uei_per_umi 3\n")
+    assert bare.amp_len == (None, None) and bare.terminators == [] and bare.min_uei_per_umi == 3 and not bare.sequences_in_labels
+
+
+def test_settings_terminators_trim_inserts(spark):
+    s = LibrarySettings.from_text(CDNA)
+    named = spark.createDataFrame([("a", "ACGTACGTACGTACGGTTCAGACGTGTAAAA"), ("b", "ACGTACGTTTTTNNNNNAAAA"), ("c", "ACGTGTTCAGACGTGTAAAA")], "name string, consensus string")
+    got = {r["name"]: r["fragment"] for r in K.trimmed(named, s.terminators, s.amp_len[0]).collect()}
+    assert got == {"a": "ACGTACGTACGTACG", "b": "ACGTACGTTTTT"}
