@@ -67,9 +67,9 @@ def assoc_consolidated(spark, folder):
     return _assoc(spark, folder)
 
 
-@query("assoc_filter_fixpoint", f"WITH {BASE}, {filter_sql(5, 2, 3)} SELECT * FROM filtered", ("AGG12", "JN13"))
+@query("assoc_filter_fixpoint", f"WITH {BASE}, {filter_sql(4, 1, 5)} SELECT * FROM filtered", ("AGG12", "JN13"))
 def assoc_filter_fixpoint(spark, folder):
-    return P.filter_associations(_assoc(spark, folder), 5, 2, 3)[0]
+    return P.filter_associations(_assoc(spark, folder), 4, 1, 5)[0]
 
 
 @query("assoc_filter_empties", f"WITH {BASE}, {filter_sql(7, 1, 6)} SELECT * FROM filtered", ("AGG12",))
