@@ -89,10 +89,13 @@ def _terms(side: Column, origin: Column, left: bool) -> Column:
 
 
 def term_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n): documents that hold each wanted term, counted over all texts."""
+    """(term, n): documents that hold each wanted term, counted over all texts; ``wanted`` are distinct.
+
+    Counts come first and meet the wanted terms after, one row a term.
+    """
     words = F.array_distinct(F.split(fold(F.col("text")), _BREAK + "+", -1))
     counts = rows.select(F.explode(words).alias("term")).where(F.char_length("term") >= TERM).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(wanted, "term", "left_semi")
+    return counts.join(wanted, "term")
 
 
 def disclosing(near: DataFrame, base: DataFrame, rows: DataFrame) -> DataFrame:
