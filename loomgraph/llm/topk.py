@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 SCALE = 64
 #: Rows of a candidate block and of a query block; a tile's scores are 1,024 x 8,192 numbers at most, in slices of queries.
 CANDIDATES, QUERIES, SLICE = 8_192, 1_024, 128
+#: Tasks of the tiles at most; each then takes several.
+TASKS = 20_000
 
 _TILE = "query_id bigint, vec_id bigint, score bigint"
 
@@ -112,12 +114,15 @@ def top_k(vectors: DataFrame, vec_id: str, vector: str, every: int = 20, k: int
     """(query_id, rank, vec_id, score) for the queries whose id is divisible by ``every``."""
     rows = weights(vectors, vec_id, vector)
     n_rows, n_queries = vectors.agg(F.count(F.lit(1)), F.count_if(F.col(vec_id) % every == 0)).first()
-    n_blocks = max(1, -(-n_queries // QUERIES))
+    n_blocks, c_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-n_rows // CANDIDATES))
     candidates = _blocks(rows, "c", CANDIDATES, n_rows)
     queries = _blocks(rows.where(F.col("id") % every == 0), "q", QUERIES, n_queries)
-    laid = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = laid.join(queries.select("q", *[F.col(x).alias(f"q_{x}") for x in ("ids", "values", "width", "small")]), "q")
-    tiles = tiles.repartition(max(1, n_blocks * -(-n_rows // CANDIDATES)), "q", "c")
+    # both sides are laid out tile by tile, so that no task sees all candidates of a query block
+    tasks = min(n_blocks * c_blocks, TASKS)
+    left = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(tasks, "q", "c")
+    right = queries.select("q", *[F.col(x).alias(f"q_{x}") for x in ("ids", "values", "width", "small")])
+    right = right.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))).repartition(tasks, "q", "c")
+    tiles = left.join(right, ["q", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
