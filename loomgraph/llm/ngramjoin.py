@@ -42,7 +42,9 @@ TASK_SUMMARY, SUMMARY = 1 << 16, 1 << 18
 HOT = 100_000
 #: Prefix rows sorted in one task.
 TASK_ROWS = 1 << 20
-CELLS = 64
+CELLS = 256
+#: 64-bit words of the table that tells which sets are wanted (8 MB).
+NAME_WORDS = 1 << 20
 
 
 def shingles(block: Block, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +77,10 @@ def signatures(owner: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, check) for every row; node and check are null for an empty set."""
+    """(doc_id, n, node, check, cells) for every row; node and check are null for an empty set.
+
+    Cells are the set's counts in ``CELLS`` ranges of the hash, a byte each, or empty where one does not fit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,12 +89,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 one, two = signatures(owner, g, n)
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, len(b)), pa.array(n, pa.int64()), pa.array(one, mask=empty), pa.array(two, mask=empty)],
-                    ["doc_id", "n", "node", "check"],
+                    [batch.column(0).slice(b.first, len(b)), pa.array(n, pa.int64()), pa.array(one, mask=empty), pa.array(two, mask=empty), pa.array(_cells(owner, g, len(b)), pa.binary())],
+                    ["doc_id", "n", "node", "check", "cells"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, node bigint, `check` bigint")
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, node bigint, `check` bigint, cells binary")
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]], top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,39 +227,91 @@ def _may_link(n: str, pos: str, m: str, at: str, similar: int) -> str:
     return f"100 * least({n}, {m}) >= {similar} * greatest({n}, {m}) and least({n} - {pos}, {m} - {at}) >= {need}"
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, cells, members) of the documents ``ids`` names; members are sorted 64-bit hashes."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
+def _name_bits(nodes: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that holds the names of ``nodes``; a text outside it cannot be one of them."""
+    spots = "array(struct(node & {m} as w, shiftright(node, 20) & 63 as b), struct(shiftright(node, 26) & {m} as w, shiftright(node, 46) & 63 as b))".format(m=NAME_WORDS - 1)
+    rows = nodes.select(F.explode(F.expr(spots)).alias("s")).groupBy("s.w").agg(F.bit_or(F.expr("shiftleft(1L, cast(s.b as int))")).alias("bits")).toPandas()
+    out = np.zeros(NAME_WORDS, np.uint64)
+    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _named_in(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    x = node.view(np.uint64)
+    out = np.ones(len(x), bool)
+    for a, b in ((0, 20), (26, 46)):
+        word = bits[((x >> np.uint64(a)) & np.uint64(NAME_WORDS - 1)).astype(np.int64)]
+        out &= (word >> ((x >> np.uint64(b)) & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, members) of the sets that ``nodes`` names, and of the few texts that its bit table lets through.
+
+    Members are sorted 64-bit hashes.  Texts stay where they are; only wanted sets move.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_name_bits(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(0)):
                 owner, g, n = shingles(b)
                 node, _ = signatures(owner, g, n)
+                _, first = np.unique(node, return_index=True)
+                first = first[_named_in(shared.value, node[first]) & (n[first] > 0)]
                 end = np.cumsum(n)
-                raw = [g[e - k : e].tobytes() for e, k in zip(end.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(raw, pa.binary())], ["node", "members"])
+                raw = [g[end[i] - n[i] : end[i]].tobytes() for i in first.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(raw, pa.binary())], ["node", "members"])
 
-    return rows.mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
 
 
-def _cells(x: np.ndarray) -> np.ndarray:
-    return np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=CELLS)
+def _cells(owner: np.ndarray, g: np.ndarray, n_texts: int, step: int = 4_096) -> list[bytes]:
+    """The cells of each text, some thousand texts at a time."""
+    cell = (g >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+    out = []
+    for a in range(0, n_texts, step):
+        k = min(step, n_texts - a)
+        lo, hi = np.searchsorted(owner, [a, a + k])
+        count = np.bincount((owner[lo:hi] - a) * CELLS + cell[lo:hi], minlength=k * CELLS).reshape(k, CELLS)
+        fits = count.max(1, initial=0) < 256
+        out += [row.tobytes() if ok else b"" for row, ok in zip(count.astype(np.uint8), fits.tolist(), strict=True)]
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
-    """Suffix filter on the cells of both sets, then the exact test."""
-    need = -(-similar * (len(a) + len(b)) // (100 + similar))
-    if np.minimum(_cells(a), _cells(b)).sum() < need:
-        return False
+    """The exact test on two sorted sets."""
     both = np.concatenate([a, b])
     both.sort()
     same = int((both[1:] == both[:-1]).sum())
     return 100 * same >= similar * (len(a) + len(b) - same)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) that link; each is checked once."""
+def _suffix_filtered(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Suffix filter: sets share at most the sum of their cells' smaller counts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    cells = sets.select("node", "cells").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    one = cells.select(F.col("node").alias("a"), F.col("cells").alias("x"))
+    two = cells.select(F.col("node").alias("b"), F.col("cells").alias("y"))
+    full = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+                need = -(-similar * int(p.sum() + q.sum()) // (100 + similar))
+                good.append(not len(p) or not len(q) or int(np.minimum(p, q).sum()) >= need)
+            at = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return full.mapInArrow(run, "a bigint, b bigint")
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, table: DataFrame, similar: int) -> DataFrame:
+    """The candidate pairs (a, b) that link; each is checked once, on the whole sets."""
+    pairs = keep(_suffix_filtered(keep(candidates), table, similar))
+    sets = keep(_sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))))
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     full = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -272,37 +329,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 def join_documents(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     sets = keep(document_sets(docs))
-    sizes = sets.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).where("node is not null")
+    sizes = sets.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("n").alias("n")).where("node is not null")
     nodes = keep(sizes)
     clash, total = nodes.agg(F.count_if(F.expr("lo <> hi")), F.coalesce(F.sum("n"), F.lit(0))).first()
     if clash:
         raise ValueError("two different sets have one 64-bit name")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * (100 - similar) // 100 // TASK_ROWS))
     index = keep(_with_pivots(_prefix_rows(docs, frequent_shingles(docs), similar), tasks))
-    needed = index.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id")
-    members = keep(_sets_of(docs, needed))
-
     star = index.where("node <> pivot").where(_may_link("n", "pos", "pivot_n", "pivot_pos", similar))
-    near = keep(_verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), members, similar))
-    near = near.unionByName(keep(_verified(_across(index, near, similar), members, similar)))
+    near = keep(_verified(docs, star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similar))
+    near = near.unionByName(keep(_verified(docs, _across(index, near, similar), sets, similar)))
     grouped = components(near, "a", "b").select(F.col("node_id").alias("node"), "comp")
     return _named(sets, grouped)
 
 
 def _across(index: DataFrame, links: DataFrame, similar: int) -> DataFrame:
-    """Candidate pairs of nodes that share a prefix shingle and lie in different components so far."""
+    """Candidate pairs of nodes that share a prefix shingle and lie in different components so far.
+
+    The shorter set of a pair that links has its first shared shingle in a still
+    shorter prefix, so shorter sets are looked up by that one, and only among
+    sets of like length.  Of one shingle's short rows, those of the commonest
+    component meet rows of other components only.
+    """
     comps = components(links, "a", "b").select(F.col("node_id").alias("node"), "comp")
     placed = index.join(comps, "node", "left").select("g", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
+    short = F.expr(f"{100 + similar} * pos <= {100 - similar} * n")
+    mixed = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(short).alias("any")).where("lo <> hi and any").select("g")
     rest = keep(placed.join(mixed, "g", "left_semi"))
-    groups = rest.select("g", "comp").distinct()
-    left = groups.select("g", F.col("comp").alias("ca"))
-    right = groups.select("g", F.col("comp").alias("cb"))
-    crossing = left.join(right, "g").where("ca < cb")
-    a = rest.select("g", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
-    b = rest.select("g", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"))
-    pairs = crossing.join(a, ["g", "ca"]).join(b, ["g", "cb"]).where(_may_link("an", "apos", "bn", "bpos", similar))
-    return pairs.select("a", "b").distinct()
+    # a little wider than the length filter, so that lengths that may link lie in one band or in neighbours
+    band = F.floor(F.log("n") / float(np.log(101 / similar))).cast("int")
+    low = rest.where(short).withColumn("band", band)
+    main = low.groupBy("g", "band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("g", "band").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    low = low.join(main, ["g", "band"]).withColumn("side", F.when(F.col("comp") == F.col("main"), 0).otherwise(1)).drop("main")
+    high = rest.withColumn("band", F.explode(F.array(band, band - 1))).join(main, ["g", "band"])
+    high = high.withColumn("side", F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))).drop("main")
+    a = low.select("g", "band", "side", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
+    b = high.select("g", "band", "side", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"))
+    pairs = a.join(b, ["g", "band", "side"]).where("ca <> cb and an <= bn").where(_may_link("an", "apos", "bn", "bpos", similar))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _named(sets: DataFrame, grouped: DataFrame) -> DataFrame:
