@@ -42,6 +42,7 @@ TASK_SUMMARY, SUMMARY = 1 << 16, 1 << 18
 HOT = 100_000
 #: Prefix rows sorted in one task.
 TASK_ROWS = 1 << 20
+#: Cells of a set at least; longer sets have a cell for about two members.
 CELLS = 256
 #: 64-bit words of the table that tells which sets are wanted (8 MB).
 NAME_WORDS = 1 << 20
@@ -79,7 +80,7 @@ def signatures(owner: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node, check, cells) for every row; node and check are null for an empty set.
 
-    Cells are the set's counts in ``CELLS`` ranges of the hash, a byte each, or empty where one does not fit.
+    Cells are the set's counts in equal ranges of the hash, a byte each, or empty where one does not fit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 one, two = signatures(owner, g, n)
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, len(b)), pa.array(n, pa.int64()), pa.array(one, mask=empty), pa.array(two, mask=empty), pa.array(_cells(owner, g, len(b)), pa.binary())],
+                    [batch.column(0).slice(b.first, len(b)), pa.array(n, pa.int64()), pa.array(one, mask=empty), pa.array(two, mask=empty), pa.array(_cells(g, n), pa.binary())],
                     ["doc_id", "n", "node", "check", "cells"],
                 )
 
@@ -266,19 +267,30 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
 
 
-def _cells(owner: np.ndarray, g: np.ndarray, n_texts: int, step: int = 4_096) -> list[bytes]:
-    """The cells of each text, some thousand texts at a time."""
-    cell = (g >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+def _cells(g: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The cells of each text; ``g`` holds the sorted hashes of text after text, ``n`` of each."""
     out = []
-    for a in range(0, n_texts, step):
-        k = min(step, n_texts - a)
-        lo, hi = np.searchsorted(owner, [a, a + k])
-        count = np.bincount((owner[lo:hi] - a) * CELLS + cell[lo:hi], minlength=k * CELLS).reshape(k, CELLS)
-        fits = count.max(1, initial=0) < 256
-        out += [row.tobytes() if ok else b"" for row, ok in zip(count.astype(np.uint8), fits.tolist(), strict=True)]
+    end = np.cumsum(n)
+    for e, k in zip(end.tolist(), n.tolist(), strict=True):
+        width = max(CELLS.bit_length() - 1, (k // 2).bit_length())
+        if not k:
+            out.append(b"")
+            continue
+        count = np.bincount((g[e - k : e] >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
+        out.append(count.astype(np.uint8).tobytes() if count.max() < 256 else b"")
     return out
 
 
+def may_share(x: bytes, y: bytes, similar: int = SIMILAR) -> bool:
+    """Suffix filter: sets share at most the sum of their cells' smaller counts, in the coarser one's cells."""
+    if not x or not y:
+        return True
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    cells = min(len(p), len(q))
+    p, q = (v.reshape(cells, -1).sum(1, dtype=np.int64) for v in (p, q))
+    return int(np.minimum(p, q).sum()) >= -(-similar * int(p.sum() + q.sum()) // (100 + similar))
+
+
 def linked(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
     """The exact test on two sorted sets."""
     both = np.concatenate([a, b])
@@ -288,7 +300,7 @@ def linked(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
 
 
 def _suffix_filtered(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Suffix filter: sets share at most the sum of their cells' smaller counts."""
+    """The pairs that the suffix filter leaves."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cells = sets.select("node", "cells").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     one = cells.select(F.col("node").alias("a"), F.col("cells").alias("x"))
@@ -297,11 +309,7 @@ def _suffix_filtered(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-                need = -(-similar * int(p.sum() + q.sum()) // (100 + similar))
-                good.append(not len(p) or not len(q) or int(np.minimum(p, q).sum()) >= need)
+            good = [may_share(x, y, similar) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 

@@ -59,6 +59,21 @@ def test_hot_shingles_split_over_salts_lose_no_link(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_suffix_filter_never_loses_a_link():
+    rng = np.random.default_rng(6)
+    dropped = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        keep = a[rng.random(len(a)) < rng.choice([0.4, 0.8, 0.9, 0.99])]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 5))).astype(np.uint64)]))
+        x, y = (ngramjoin._cells(v, np.array([len(v)]))[0] for v in (a, b))
+        if len(b) and ngramjoin.linked(a, b):
+            assert ngramjoin.may_share(x, y)
+        dropped += not ngramjoin.may_share(x, y)
+    assert dropped > 30
+
+
 def test_join_of_tricky_rows(tricky, empty):
     got = ngramjoin.join_documents(tricky).collect()
     assert len(got) == tricky.count()
