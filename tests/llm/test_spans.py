@@ -108,6 +108,28 @@ def test_terms_that_reveal_an_entity_are_removed(spark):
     assert got[100] == "" and got[200] == ""
 
 
+def test_terms_far_from_a_rare_entity_go_from_every_text(spark):
+    far = " ".join(["about the weather today"] * 30)
+    rows = [(0, f"\U0001f600 Xylophon {far} joe@one.org {far} number 77 Xylophon"), (1, f"{far} and Quagga"), (2, "xylophon alone")]
+    rows += [(10 + i, f"about the weather today and number {i}") for i in range(300)]
+    got = {r["doc_id"]: r for r in disclosure.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    text = rows[0][1]
+    # n(e, t) = 1, n(t) = 2 of 303 documents: 1 - log2(2) / log2(303) = 0.88
+    at = [m.start() for m in re.finditer("Xylophon", text)]
+    mail = text.index("joe@")
+    assert got[0]["spans"].split(",") == [f"email:{mail}:{mail + 11}", *[f"generalised:{a}:{a + 8}" for a in at]]
+    assert got[0]["sanitised"] == text.replace("joe@one.org", "[email]").replace("Xylophon", "[name]")
+    assert got[2]["sanitised"] == "[word] alone"
+    assert got[1]["sanitised"] == rows[1][1] and got[10]["sanitised"] == rows[3][1]
+
+
+def test_entities_of_the_same_documents_and_of_others(spark):
+    rows = [(i, f"a{i % 2}@x.org 1.2.3.{i % 2} term{i % 2} shared") for i in range(4)] + [(10 + i, f"filler{i % 3} text") for i in range(96)]
+    got = {r["doc_id"]: r["sanitised"] for r in disclosure.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # term0 names its entities always, shared every second time: log2(100 * 2 / (2 * 4)) / log2(50) = 0.82
+    assert got == {i: "[email] [ip]  [word]" for i in range(4)} | {10 + i: f"filler{i % 3} text" for i in range(96)}
+
+
 @pytest.mark.parametrize("fn", [secrets.secret_report, disclosure.report])
 def test_tricky_rows(fn, tricky, empty):
     assert fn(tricky).count() == tricky.count()
