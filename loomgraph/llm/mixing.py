@@ -1,14 +1,16 @@
 """Mixing a corpus to target token shares of domains with soft membership.
 
 A classifier fitted on a labelled table gives every document a posterior over
-domains.  Documents get nonnegative rates x, and projected gradient descent on
+domains.  Documents get the nonnegative rates x that minimise
 
-    1/2 sum_d ((sum_i p_id t_i x_i - b_d) / T)^2 + RIDGE/2 sum_i t_i/T (x_i - 1)^2
+    1/2 sum_d r_d^2 / h_d + RIDGE/2 sum_i t_i/T (x_i - 1)^2,   r_d = (sum_i p_id t_i x_i - b_d) / T,
 
-makes the expected tokens of domain d, t_i tokens a document, match b_d =
-weight_d T.  In the metric t_i/T the gradient of a document is p_i r + RIDGE
-(x_i - 1), where r are the domains' residuals: one small sum over all documents
-a step, and no step size that depends on the data.  Steps carry momentum.
+with t_i the tokens of a document, b_d = weight_d T and h_d = sum_i p_id^2 t_i / T
+the curvature of a domain, so that a rare domain meets its target as a common
+one does.  The least rates are x_i = max(0, 1 - p_i l) for one multiplier l_d =
+r_d / (RIDGE h_d) a domain, and Newton steps on these need one small sum over all
+documents each.  They end when every domain's r_d is within STILL (weight_d +
+h_d) of RIDGE h_d l_d.
 
 Defined cases: a null or empty text has no tokens and rate 1; targets are
 scaled to sum to 1; a domain without any mass keeps its shortfall; without
@@ -36,7 +38,7 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 #: Most labelled documents the classifier is fitted on, its words, and how many of these documents must hold a word.
 SAMPLE, WORDS, LEAST = 4_000, 4_096, 8
 RIDGE, PENALTY = 1e-4, 1e-4
-ROUNDS, SAVE, STILL = 600, 12, 2e-6
+ROUNDS, STILL = 200, 1e-6
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> F.Column:
@@ -174,70 +176,75 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, tokens bigint, p array<double>")
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    t = batch.column(1).to_numpy().astype(float)
-    p = batch.column(2).flatten().to_numpy().reshape(len(t), -1)
-    return t, p, batch.column(3).to_numpy(), batch.column(4).to_numpy()
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    t = batch.column(0).to_numpy().astype(float)
+    return t, batch.column(1).flatten().to_numpy().reshape(len(t), -1)
 
 
-def _replay(p: np.ndarray, x: np.ndarray, y: np.ndarray, past: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates x and extrapolated rates y after the steps whose residuals and momentum are ``past``."""
-    for r, momentum in past:
-        new = np.maximum(0.0, y - (p @ r + RIDGE * (y - 1)) / (1 + RIDGE))
-        x, y = new, new + momentum * (new - x)
-    return x, y
+def _totals(members: DataFrame, l: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums of t x^2, t p x, and t p p' over rates above 0, at multipliers ``l``."""
+    k = len(l)
 
-
-def _stepped(state: DataFrame, past: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + k + k * k)
         for batch in batches:
-            _, p, x, y = _columns(batch)
-            x, y = _replay(p, x, y, past)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x), pa.array(y)], batch.schema.names)
-
-    return state.mapInArrow(run, state.schema)
+            if batch.num_rows:
+                t, p = _columns(batch)
+                x = np.maximum(0.0, 1 - p @ l)
+                total += np.concatenate([[t @ x**2], (t * x) @ p, ((p * (t * (x > 0))[:, None]).T @ p).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+
+    out = np.zeros(1 + k + k * k)
+    for r in members.select("tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out[0], out[1 : 1 + k], out[1 + k :].reshape(k, k)
+
+
+def _multipliers(members: DataFrame, weights: np.ndarray, rounds: int) -> np.ndarray:
+    l = np.zeros(len(weights))
+    square, at, curve = _totals(members, l)
+    total = square  # all rates are 1
+    if not total:
+        return l
+    h = np.diag(curve) / total
+    some = np.flatnonzero(h > 0)  # a domain without any mass keeps its shortfall
+    ridge = RIDGE * h
+
+    def value(square: float, l: np.ndarray) -> float:
+        return square / total / 2 + ridge @ l**2 / 2 + weights @ l
+
+    for _ in range(rounds):
+        down = (at / total - weights - ridge * l)[some]
+        if (np.abs(down) <= STILL * (weights + h)[some]).all():
+            return l
+        scale = 1 / np.sqrt(h[some])
+        step = np.zeros(len(l))
+        bent = (curve / total + np.diag(ridge))[np.ix_(some, some)]
+        step[some] = scale * np.linalg.solve(bent * np.outer(scale, scale), scale * down)
+        here, size = value(square, l), 1.0
+        while True:
+            new = _totals(members, l + size * step)
+            # where values no longer tell steps apart, full steps are taken
+            if value(new[0], l + size * step) <= here - 1e-4 * size * (down @ step[some]) + 1e-13 * (1 + abs(here)) or size < 1e-9:
+                break
+            size /= 2
+        l = l + size * step
+        square, at, curve = new
+    raise RuntimeError(f"rates did not settle in {rounds} rounds")
 
 
-def _totals(state: DataFrame, past: list, k: int) -> np.ndarray:
-    """Expected tokens of each domain at the extrapolated rates."""
+def fit_rates(members: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, tokens, p, rate) for a table of memberships; raises when the residuals have not come to rest."""
+    members = keep(members.select("doc_id", "tokens", "p"))
+    l = _multipliers(members, weights, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
         for batch in batches:
-            if batch.num_rows:
-                t, p, x, y = _columns(batch)
-                total += (t * _replay(p, x, y, past)[1]) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["d", "v"])
-
-    rows = state.mapInArrow(run, "d int, v double").groupBy("d").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k)
-    for r in rows:
-        out[r["d"]] = r["v"]
-    return out
-
+            t, p = _columns(batch.select(["tokens", "p"]))
+            rate = np.where(t > 0, np.maximum(0.0, 1 - p @ l), 1.0) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["doc_id", "tokens", "p", "rate"])
 
-def fit_rates(members: DataFrame, weights: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, tokens, p, rate) for a table of memberships; raises when the residuals have not come to rest."""
-    k = len(weights)
-    total = float(members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    state = keep(members.select("doc_id", "tokens", "p", F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))
-    past: list[tuple[np.ndarray, float]] = []
-    last, speed = None, 1.0
-    for _ in range(rounds if total else 0):
-        r = _totals(state, past, k) / total - weights
-        if last is not None and np.abs(r - last).max() < STILL:
-            break
-        if last is not None and r @ (r - last) > 0:
-            speed = 1.0  # residuals grow: momentum starts anew
-        nxt = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        past.append((r, (speed - 1) / nxt))
-        last, speed = r, nxt
-        if len(past) == SAVE:
-            state, past = keep(_stepped(state, past)), []
-    else:
-        if total:
-            raise RuntimeError(f"rates did not settle in {rounds} rounds")
-    return _stepped(state, past).select("doc_id", "tokens", "p", F.when(F.col("tokens") > 0, F.col("x")).otherwise(1.0).alias("rate"))
+    return members.mapInArrow(run, "doc_id bigint, tokens bigint, p array<double>, rate double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
@@ -245,8 +252,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     domains = sorted(targets)
     weights = np.array([targets[d] for d in domains])
     weights = weights / weights.sum()
-    members = keep(memberships(docs, train(docs, labels, domains)))
-    rates = fit_rates(members, weights)
+    rates = fit_rates(memberships(docs, train(docs, labels, domains)), weights)
     names = F.array(*[F.lit(d) for d in domains])
     best = F.array_position("p", F.array_max("p")).cast("int")
     draw = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(1 << 20)) / F.lit(1 << 20)

@@ -140,6 +140,21 @@ def test_rates_match_plain_projected_gradient_and_targets(spark):
     assert np.allclose((t * best) @ p / t.sum(), (t * x) @ p / t.sum(), atol=2e-3)
 
 
+@pytest.mark.parametrize("rare", [(1e-3, 1e-4), (1e-4, 1e-4)])
+@pytest.mark.parametrize("soft", [0.0, 0.02])
+def test_rates_meet_targets_of_rare_domains(spark, rare, soft):
+    weights = np.array([0.90, 0.08, 0.02])
+    share = np.array([1 - sum(rare), *rare])
+    t = np.repeat((share * 1e7 / 50).astype(int), 50)
+    p = np.repeat(np.eye(3), 50, axis=0)
+    p = (1 - soft) * p + soft * p[:, ::-1] * np.random.default_rng(3).random((150, 1))
+    p /= p.sum(1, keepdims=True)
+    df = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(150)], "doc_id bigint, tokens bigint, p array<double>")
+    got = {r["doc_id"]: r["rate"] for r in mixing.fit_rates(df, weights).collect()}
+    x = np.array([got[i] for i in range(150)])
+    assert (x >= 0).all() and np.allclose((t * x) @ p / t.sum(), weights, rtol=2e-3)
+
+
 def test_mix_of_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     got = mixing.mix(docs, labels).toPandas()
