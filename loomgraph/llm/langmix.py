@@ -9,7 +9,7 @@ of the chosen set is the prediction.
 Trigram counts are summed over all training documents; a language's model is
 ``BUCKETS`` numbers, whatever the size of the corpus.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0;
+Defined cases: a null text or one without a Unicode letter is ``und`` with score 0;
 without training rows every text is; null languages are not learned; repeated
 rows are predicted each; an empty table gives no row; other columns are ignored.
 """
@@ -28,7 +28,8 @@ from loomgraph.llm.common import held_out
 from loomgraph.llm.textcodes import Block, blocks
 
 BUCKETS, SMOOTH = 1 << 16, 0.5
-ROUNDS, PENALTY = 8, 4.0
+#: EM of a text ends when a round adds less than this to its log-likelihood.
+TOLERANCE, PENALTY = 1e-4, 4.0
 
 _FOLD = np.full(256, 32, np.uint8)
 for _c in (*range(97, 123), *range(128, 256)):
@@ -54,6 +55,17 @@ def trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return text[some], ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
+def has_letter(block: Block) -> np.ndarray:
+    """True for texts with a Unicode letter."""
+    low = block.data | 32
+    plain = np.flatnonzero((low >= 97) & (low <= 122))
+    out = np.searchsorted(plain, block.ends) > np.searchsorted(plain, block.starts)
+    wide = np.flatnonzero(block.data >= 128)
+    for i in np.flatnonzero(~out & (np.searchsorted(wide, block.ends) > np.searchsorted(wide, block.starts))).tolist():
+        out[i] = any(map(str.isalpha, block.data[block.starts[i] : block.ends[i]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
 def ngram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """(lang, bucket, n) over all rows; each task adds up its own first."""
 
@@ -89,6 +101,8 @@ class Model:
         key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
         doc, bucket = key >> 16, key & (BUCKETS - 1)
         total = np.bincount(doc, weights=count, minlength=n_texts)
+        letters = has_letter(block)
+        total[~letters] = 0
         out = np.zeros((n_texts, k))
         if not len(key) or not k:
             return out, total
@@ -102,17 +116,29 @@ class Model:
         weight = count.astype(float)
         prior = np.exp(self.log_prior)
 
-        def em(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def em(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rounds until the log-likelihood of every text rests; texts leave as theirs does."""
             pi = mask * prior
             pi /= pi.sum(1, keepdims=True)
-            for _ in range(rounds):
-                joint = p * pi[row]
-                share = joint * (weight / joint.sum(1))[:, None]
-                pi = np.add.reduceat(share, start) + 1e-9 * mask
-                pi /= pi.sum(1, keepdims=True)
-            return pi, base + np.add.reduceat(weight * np.log((p * pi[row]).sum(1)), start)
-
-        full, _ = em(np.ones((len(some), k)), ROUNDS)
+            fit = np.full(len(some), -np.inf)
+            live, at, p_at, w_at, first_at = np.arange(len(some)), row, p, weight, start
+            while True:
+                joint = p_at * pi[live][at]
+                each = joint.sum(1)
+                now = base[live] + np.add.reduceat(w_at * np.log(each), first_at)
+                moved = now - fit[live] > TOLERANCE
+                fit[live] = now
+                if not moved.any():
+                    return pi, fit
+                new = np.add.reduceat(joint * (w_at / each)[:, None], first_at) + 1e-9 * mask[live]
+                live = live[moved]
+                pi[live] = new[moved] / new[moved].sum(1, keepdims=True)
+                if not moved.all():
+                    stays = moved[at]
+                    at, p_at, w_at = (np.cumsum(moved) - 1)[at[stays]], p_at[stays], w_at[stays]
+                    first_at = np.searchsorted(at, np.arange(len(live)))
+
+        full, _ = em(np.ones((len(some), k)))
         rank = np.argsort(-(full + 1e-12 * prior), axis=1, kind="stable")
         cost = PENALTY * np.log(total[some] + 1)
         first = (alone + self.log_prior).argmax(1)
@@ -127,13 +153,14 @@ class Model:
                 lang = rank[:, j]
                 due = open_ & (mask.sum(1) < size) & (mask[np.arange(len(some)), lang] == 0)
                 mask[np.flatnonzero(due), lang[due]] = 1.0
-            pi, fit = em(mask, ROUNDS)
+            pi, fit = em(mask)
             gain = open_ & (2 * fit - cost * (size - 1) > best)
             chosen[gain], best[gain] = pi[gain], (2 * fit - cost * (size - 1))[gain]
             open_ = gain
             if not open_.any():
                 break
         out[some] = chosen
+        out[~letters] = 0
         return out, total
 
 

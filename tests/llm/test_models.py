@@ -94,6 +94,22 @@ def test_mixtures_find_both_languages_and_their_shares(spark):
     assert pi[1].max() > 0.9 and not pi[2].any() and not pi[3].any() and n[2] == n[3] == 0
 
 
+def test_proportions_are_a_fixed_point_of_em():
+    rng = np.random.default_rng(5)
+    log_p = np.log(rng.dirichlet(np.ones(3), langmix.BUCKETS) * 0.2 + 0.8 / 3)  # languages that are hard to tell apart
+    log_p[:, 2] -= 3
+    model = langmix.Model(["a", "b", "c"], log_p, np.log(np.array([0.05, 0.9, 0.05])))
+    text = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40_000))
+    pi, _ = model.mixtures(block([text, "\u201c\u2026\u201d \U0001f600", "\u6f22"]))
+    _, bucket = langmix.trigrams(block([text]))
+    p = np.exp(log_p[bucket])
+    def fit(x):
+        return np.log(p @ x).sum()
+    step = (p * pi[0] / (p @ pi[0])[:, None]).mean(0)
+    assert (pi[0] > 0).sum() == 2 and 0 <= fit(step) - fit(pi[0]) < 2 * langmix.TOLERANCE
+    assert not pi[1].any() and pi[2].any()
+
+
 def test_trigram_counts_match_brute_force(spark):
     rows = [("en", "Ab, c"), ("en", "ab"), (None, "zzz"), ("fr", None), ("de", "é")]
     got = {(r["lang"], r["bucket"]): r["n"] for r in langmix.ngram_counts(spark.createDataFrame(rows, "lang string, text string"), "lang", "text").collect()}
