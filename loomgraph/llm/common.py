@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +41,18 @@ def fold(col: Column) -> Column:
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     """True where crc32 of the id as text leaves ``part``; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of the string or binary ``column``; a longer value is a slice of its own."""
+    for batch in batches:
+        values = batch.column(column)
+        if not len(values):
+            continue
+        wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+        at = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1]
+        first = 0
+        while first < len(values):
+            stop = max(first + 1, int(np.searchsorted(at, int(at[first]) + size, "right")) - 1)
+            yield batch.slice(first, stop - first)
+            first = stop

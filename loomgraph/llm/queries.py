@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.align import align_report
+from loomgraph.llm.bpe import bpe_report
 from loomgraph.llm.common import table
 from loomgraph.llm.decontam import leaks
 from loomgraph.llm import disclosure
 from loomgraph.llm.langmix import language_report
 from loomgraph.llm.linecrf import quality_report
 from loomgraph.llm.linededup import line_report
+from loomgraph.llm.middle import middle_report
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.ngramjoin import join_documents
 from loomgraph.llm.ngramlm import lm_report
@@ -135,3 +138,32 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_disclosure")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return disclosure.report(table(spark, folder, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return align_report(table(spark, folder, "documents"))
+
+
+MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+      list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM d),
+c AS (SELECT *, len(us) AS n, least(hs[1] % (len(us) + 1), hs[2] % (len(us) + 1)) AS lo, greatest(hs[1] % (len(us) + 1), hs[2] % (len(us) + 1)) AS hi,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 50 THEN 'plain'
+           WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:lo], '') AS a, array_to_string(us[lo + 1:hi], '') AS m, array_to_string(us[hi + 1:n], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return middle_report(table(spark, folder, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_report(table(spark, folder, "documents"))
