@@ -17,8 +17,9 @@ rounds add up by row.  Nothing is moved but distinct pairs and vectors.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,9 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.bpe import Merger
 from loomgraph.llm.common import keep, slices
 from loomgraph.llm.minimal_hash import PairHash, build
-from loomgraph.llm.pieces import Splitter
+from loomgraph.llm.pieces import PieceEncoder
 from loomgraph.llm.textcodes import mix
 
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,8 +43,6 @@ PAIRS = 1 << 22
 SHARD_PAIRS = 1 << 14
 # Vectors that one task of the tree adds up.
 FAN = 16
-# Encoded pieces kept per process; the memo is emptied when full.
-MEMO = 1 << 18
 # Distinct pairs a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -67,19 +67,28 @@ class _Vocabulary:
         return memoryview(data).cast("B")[: int(self.length[ids].sum())]
 
 
+@lru_cache(maxsize=2)
 def byte_vocabulary(content: bytes):
-    """The tokenizer in ``content`` and its tokens' bytes by id."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_str(content.decode())
-    model.encode_special_tokens = True  # their strings in a text are plain text
-    byte = _byte_of_char()
-    special = model.get_added_tokens_decoder()
-    texts = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
-    return model, _Vocabulary([t.encode() if i in special else bytes(byte[c] for c in t) for i, t in enumerate(texts)])
-
+    """Merges of the byte-level BPE model in ``content``, and its tokens' bytes by id.
 
+    Special tokens are never made: their strings in a text are plain text.
+    Any other normalizer, splitter or model than plain byte-level BPE is an error.
+    """
+    whole = json.loads(content)
+    model, split = whole["model"], whole["pre_tokenizer"]
+    plain = model["type"] == "BPE" and not model.get("ignore_merges") and not whole["normalizer"]
+    if not plain or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
+        raise ValueError("not a plain byte-level BPE tokenizer")
+    byte, vocabulary = _byte_of_char(), model["vocab"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    order = {(vocabulary[a] << 32) | vocabulary[b]: rank for rank, (a, b) in reversed(list(enumerate(merges)))}
+    merger = Merger([vocabulary[c] for _, c in sorted((b, c) for c, b in byte.items())], order, [vocabulary[a + b] for a, b in merges], {})
+    added = {t["id"]: t["content"].encode() for t in whole["added_tokens"]}
+    tokens = {i: bytes(byte[c] for c in t) for t, i in vocabulary.items() if i not in added} | added
+    return merger, _Vocabulary([tokens.get(i, b"") for i in range(max(tokens) + 1)])
+
+
+@lru_cache(maxsize=2)
 def piece_vocabulary(content: bytes):
     import sentencepiece
 
@@ -91,31 +100,6 @@ def piece_vocabulary(content: bytes):
     return model, _Vocabulary(out)
 
 
-class _ByteEncoder:
-    """Ids of texts by the byte-level tokenizer, piece by piece with a memo; new pieces of a slice are encoded together."""
-
-    def __init__(self, model):
-        self._model, self._split, self._memo = model, Splitter(), {}
-
-    def _add(self, new: set[str]) -> None:
-        names = list(new)
-        if len(self._memo) + len(names) > MEMO:
-            self._memo.clear()
-        for name, found in zip(names, self._model.encode_batch_fast(names, add_special_tokens=False)):
-            self._memo[name] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        out = []
-        for part in self._split(" " + text):
-            new = set(part) - self._memo.keys()
-            if new:
-                self._add(new)
-                if not all(p in self._memo for p in part):  # the memo was emptied
-                    self._add(set(part))
-            out.append(b"".join(map(self._memo.__getitem__, part)))
-        return np.frombuffer(b"".join(out), "<u4")
-
-
 def tokens(docs: DataFrame, text: str, id: str, byte_model: str, piece_model: str) -> DataFrame:
     """(id, a, b): both id rows, packed as little-endian unsigned 32-bit integers; none where a text is null, empty or not reproduced."""
     shared = docs.sparkSession.sparkContext.broadcast((_content(byte_model), _content(piece_model)))
@@ -123,14 +107,14 @@ def tokens(docs: DataFrame, text: str, id: str, byte_model: str, piece_model: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_model, a_words = byte_vocabulary(shared.value[0])
         b_model, b_words = piece_vocabulary(shared.value[1])
-        encoder = _ByteEncoder(a_model)
+        encoder = PieceEncoder(a_model)
         for batch in slices(batches, 1):
             raw = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             texts = [t.decode("utf-8", "replace") for t in raw]
+            a_ids = [np.frombuffer(ids, "<u4") for ids in encoder.encode([" " + t if t else "" for t in texts])]
             b_ids = [np.array(ids, "<u4") for ids in b_model.encode(texts, num_threads=1)]
             columns = ([], [])
-            for whole, plain, b in zip(raw, texts, b_ids):
-                a = encoder.encode(plain) if plain else b[:0]
+            for whole, a, b in zip(raw, a_ids, b_ids):
                 good = bool(whole) and a_words.joined(a) == b" " + whole and b_words.joined(b) == b" " + whole
                 columns[0].append(a.tobytes() if good else b"")
                 columns[1].append(b.tobytes() if good else b"")
@@ -145,6 +129,14 @@ def _content(path: str) -> bytes:
         return file.read()
 
 
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of packed rows, and how many each row has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view("<u4") if raw.ctypes.data % 4 == 0 else raw.copy().view("<u4"), (np.diff(at) // 4).astype(np.int64)
+
+
 class Aligned:
     """The tokens of some rows laid over their bytes.
 
@@ -153,30 +145,27 @@ class Aligned:
     """
 
     def __init__(self, a_column: pa.Array, b_column: pa.Array, a_length: np.ndarray, b_length: np.ndarray):
-        a_rows, b_rows = a_column.to_pylist(), b_column.to_pylist()
-        self.a, self.b = (np.frombuffer(b"".join(rows), "<u4") for rows in (a_rows, b_rows))
-        self.n_a, self.n_b = (np.array([len(r) // 4 for r in rows], np.int64) for rows in (a_rows, b_rows))
+        (self.a, self.n_a), (self.b, self.n_b) = map(_unpacked, (a_column, b_column))
         a_end, b_end = np.cumsum(a_length[self.a]), np.cumsum(b_length[self.b])
         total = int(a_end[-1]) if len(a_end) else 0
         marks = np.zeros((2, total + 1), bool)
         marks[0, a_end], marks[1, b_end] = True, True
         joint = marks[0] & marks[1]
         self.a_at, self.b_at = np.flatnonzero(joint[a_end]), np.flatnonzero(joint[b_end])
-        self.row = np.searchsorted(np.cumsum(self.n_a), self.a_at, "right")
+        self.row = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.a_at]
         self.keys = (self.a[self.a_at].astype(np.int64) << 32) | self.b[self.b_at].astype(np.int64)
-        self.links = np.bincount(self.row, minlength=len(a_rows))
+        self.links = np.bincount(self.row, minlength=len(self.n_a))
 
     def group_texts(self, a_words: pa.Array, b_words: pa.Array) -> list[bytes]:
         """Per row ``a1,a2|b1;a3|b2,b3``.  The word arrays hold every id followed by its two possible marks."""
-        a_group, b_group = (np.searchsorted(at, np.arange(len(ids))) for at, ids in ((self.a_at, self.a), (self.b_at, self.b)))
         n_a = np.diff(self.a_at, prepend=-1)
         n_b = np.diff(self.b_at, prepend=-1)
         before_a, before_b = np.cumsum(n_b) - n_b, np.cumsum(n_a)
-        code = np.empty(len(self.a) + len(self.b), np.int64)
         a_last, b_last = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
         a_last[self.a_at], b_last[self.b_at] = 1, 1
-        code[np.arange(len(self.a)) + before_a[a_group]] = 2 * self.a.astype(np.int64) + a_last
-        code[np.arange(len(self.b)) + before_b[b_group]] = len(a_words) + 2 * self.b.astype(np.int64) + b_last
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        code[np.arange(len(self.a)) + np.repeat(before_a, n_a)] = 2 * self.a.astype(np.int64) + a_last
+        code[np.arange(len(self.b)) + np.repeat(before_b, n_b)] = len(a_words) + 2 * self.b.astype(np.int64) + b_last
         if not len(code):
             return [b""] * len(self.n_a)
         taken = pc.take(pa.concat_arrays([a_words, b_words]), pa.array(code))

@@ -5,7 +5,9 @@ at every node, the smallest (rank, position) of the adjacent pairs below, so
 its root is the leftmost pair of lowest rank.  A merge links the second token
 out and changes at most three leaves - the merged token, the token that went,
 the left neighbour -, each updated up its path.  A piece of n bytes thus takes
-O(n log n) steps whatever its length.
+O(n log n) steps whatever its length.  The short pieces of a batch of texts
+that are new are merged side by side: one row of trees each, one merge of every
+piece a step, in NumPy; longer ones one by one.
 
 Ranks are read on the driver and broadcast: a vocabulary is a bounded file.
 Texts never move between tasks; there is no shuffle.
@@ -14,7 +16,7 @@ Texts never move between tasks; there is no shuffle.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import slices
-from loomgraph.llm.pieces import Splitter
+from loomgraph.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-# Encoded pieces kept per process; the memo is emptied when full.
-MEMO = 1 << 18
-# Longer pieces are rare and not worth keeping.
-MEMO_PIECE = 64
+# Longest piece, in bytes, that is merged side by side with others.
+SIDE_BY_SIDE = 64
 
 _NONE = 1 << 62
 _PLACE = 40
@@ -44,23 +44,23 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Token ids of one piece: the leftmost pair of lowest rank merges until none has a rank."""
-    n = len(piece)
-    if n == 1:
-        return [ranks[piece]]
+def merge(tokens: list[int], order: dict[int, int], merged: Sequence[int]) -> list[int]:
+    """Token ids of one piece: the leftmost pair of lowest rank merges until none has a rank.
+
+    ``order`` gives the rank of a pair (first id in the upper 32 bits), ``merged`` the id that a rank makes.
+    """
+    n = len(tokens)
+    tokens = list(tokens)
     after = list(range(1, n + 1))
     before = list(range(-1, n))
 
     def pair(i: int) -> int:
         """Tree value of the token at ``i`` and its right neighbour."""
         j = after[i]
-        if j >= n or after[j] - i > longest:
-            return _NONE
-        rank = ranks.get(piece[i : after[j]])
+        rank = order.get((tokens[i] << 32) | tokens[j]) if j < n else None
         return _NONE if rank is None else (rank << _PLACE) | i
 
-    size = 1 << (n - 1).bit_length()
+    size = 1 << max(0, n - 1).bit_length()
     tree = [_NONE] * (2 * size)
     for i in range(n - 1):
         tree[size + i] = pair(i)
@@ -85,6 +85,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     while tree[1] < _NONE:
         i = tree[1] & _PLACES
         gone = after[i]
+        tokens[i] = int(merged[tree[1] >> _PLACE])
         after[i] = after[gone]
         before[after[gone]] = i
         put(gone, _NONE)
@@ -93,33 +94,112 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
             put(before[i], pair(before[i]))
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(tokens[i])
         i = after[i]
     return out
 
 
-class Encoder(dict):
-    """Piece to packed ids (little-endian, 32 bits), remembering frequent pieces."""
+class Merger:
+    """Packed ids (little-endian, 32 bits) of many pieces."""
+
+    def __init__(self, byte: Sequence[int], order: dict[int, int], merged: Sequence[int], whole: dict[bytes, int]):
+        """``byte`` has the id of every byte; pieces in ``whole`` are one token without any merge."""
+        self._byte, self._order, self._whole = np.array(byte, np.int64), order, whole
+        self._merged = np.array(merged, np.int64)
+        self._pairs = np.array(sorted(order), np.int64)
+        self._ranks = np.array([order[k] for k in sorted(order)], np.int64)
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Merger:
+        """Pairs of tokens merge where their bytes together are a token; its id is the pair's rank."""
+        order = {
+            (left << 32) | right: rank
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+        }
+        return cls([ranks[bytes([i])] for i in range(256)], order, range(max(ranks.values()) + 1), ranks)
+
+    def _values(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Tree values of token pairs."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, (self._ranks[at] << _PLACE) | place, _NONE)
+
+    def _side_by_side(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Ids of pieces of 1 to ``size`` bytes, a power of two; as ``merge``, with arrays of one row a piece, laid flat."""
+        n = len(pieces)
+        length = np.array([len(p) for p in pieces], np.int64)
+        token = self._byte[np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8)]
+        place = np.tile(np.arange(size), n)
+        alive = place < np.repeat(length, size)
+        after = place + 1
+        before = np.tile(np.arange(-1, size), n)
+        tree = np.full((n, 2 * size), _NONE, np.int64)
+        ok = place + 1 < np.repeat(length, size)
+        leaves = np.full(n * size, _NONE, np.int64)
+        spot = np.flatnonzero(ok)
+        leaves[spot] = self._values(token[spot], token[spot + 1], place[spot])
+        tree[:, size:] = leaves.reshape(n, size)
+        width = size // 2
+        while width:
+            tree[:, width : 2 * width] = np.minimum(tree[:, 2 * width : 4 * width : 2], tree[:, 2 * width + 1 : 4 * width : 2])
+            width //= 2
+        tree = tree.reshape(-1)
+
+        def put(row: np.ndarray, i: np.ndarray, value: np.ndarray | int) -> None:
+            base, node = row * (2 * size), size + i
+            tree[base + node] = value
+            while node[0] > 1:
+                node = node >> 1
+                child = base + 2 * node
+                tree[base + node] = np.minimum(tree[child], tree[child + 1])
+
+        row = np.arange(n)
+        while True:
+            root = tree[row * (2 * size) + 1]
+            row, root = row[root < _NONE], root[root < _NONE]
+            if not len(row):
+                break
+            base, i = row * size, root & _PLACES
+            gone = after[base + i]
+            behind = after[base + gone]
+            token[base + i] = self._merged[root >> _PLACE]
+            alive[base + gone] = False
+            after[base + i] = behind
+            before[row * (size + 1) + behind] = i
+            put(row, gone, _NONE)
+            inside = behind < length[row]
+            put(row, i, np.where(inside, self._values(token[base + i], token[base + np.where(inside, behind, i)], i), _NONE))
+            left = before[row * (size + 1) + i]
+            has = left >= 0
+            if has.any():
+                put(row[has], left[has], self._values(token[(base + left)[has]], token[(base + i)[has]], left[has]))
+        ends = (4 * np.cumsum(alive.reshape(n, size).sum(1))).tolist()
+        ids = token[alive].astype("<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def __call__(self, names: list[str]) -> list[bytes]:
+        raw = [name.encode() for name in names]
+        out: list[bytes] = [b""] * len(raw)
+        classes: dict[int, list[int]] = {}
+        for k, piece in enumerate(raw):
+            whole = self._whole.get(piece)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(piece) > SIDE_BY_SIDE:
+                out[k] = np.array(merge(self._byte[list(piece)].tolist(), self._order, self._merged), "<u4").tobytes()
+            else:
+                classes.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(k)
+        for size, members in classes.items():
+            for k, packed in zip(members, self._side_by_side([raw[k] for k in members], size)):
+                out[k] = packed
+        return out
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self._ranks, self._longest = ranks, max(map(len, ranks), default=0)
-        self._split = Splitter()
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self._ranks.get(raw)
-        ids = [whole] if whole is not None else merge(raw, self._ranks, self._longest)
-        packed = np.array(ids, "<u4").tobytes()
-        if len(raw) <= MEMO_PIECE:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        get = self.__getitem__
-        return b"".join(b"".join(map(get, part)) for part in self._split(text))
+@lru_cache(maxsize=2)
+def merger(content: bytes) -> Merger:
+    return Merger.of_ranks(read_ranks(content))
 
 
 def _content(path: str) -> bytes:
@@ -137,10 +217,10 @@ def encode(docs: DataFrame, text: str = "text", id: str = "doc_id", ranks: str =
     shared = docs.sparkSession.sparkContext.broadcast(_content(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(shared.value))
+        encoder = PieceEncoder(merger(shared.value))
         for batch in slices(batches, 1):
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            packed = [encoder.encode(t.decode("utf-8", "replace")) if t else b"" for t in texts]
+            packed = encoder.encode([t.decode("utf-8", "replace") if t else "" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))

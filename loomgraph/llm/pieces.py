@@ -8,7 +8,7 @@ class while a text is split; the pieces are cut from the text itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import public_tokenizers
@@ -19,6 +19,9 @@ import tiktoken
 LONG = 1 << 22
 STRETCH = 1 << 18
 
+# Encoded pieces kept per process; the memo is emptied when full.
+MEMO = 1 << 18
+
 _CLASSES = ((r"\p{L}", "é"), (r"\p{N}", "1"), (r"\s", " "))
 _OTHER = "!"
 
@@ -52,3 +55,41 @@ class Splitter:
         found = self._find.finditer(shadow)
         while part := [text[m.start() : m.end()] for m in islice(found, STRETCH)]:
             yield part
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece: pieces not met before are encoded together by ``learn``, the others are remembered.
+
+    ``learn`` takes distinct pieces and returns their packed ids; a text's ids are those of its pieces, one after the other.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
+        self._learn, self._split = learn, Splitter()
+        self._memo: dict[str, bytes] = {}
+
+    def _packed(self, parts: list[list[str]]) -> list[bytes]:
+        new = {p for part in parts for p in part if p not in self._memo}
+        if len(self._memo) + len(new) > MEMO:
+            self._memo.clear()
+            new = {p for part in parts for p in part}
+        if new:
+            names = list(new)
+            self._memo.update(zip(names, self._learn(names)))
+        get = self._memo.__getitem__
+        return [b"".join(map(get, part)) for part in parts]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts, owners, held = [], [], 0
+        for i, text in enumerate(texts):
+            for part in self._split(text) if text else ():
+                parts.append(part)
+                owners.append(i)
+                held += len(part)
+                if held >= STRETCH:
+                    for owner, packed in zip(owners, self._packed(parts)):
+                        out[owner].append(packed)
+                    parts, owners, held = [], [], 0
+        for owner, packed in zip(owners, self._packed(parts)):
+            out[owner].append(packed)
+        return [b"".join(x) for x in out]

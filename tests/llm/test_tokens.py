@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import align, bpe, middle, queries
 from loomgraph.llm.minimal_hash import PairHash, build, shard_of
-from loomgraph.llm.pieces import Splitter
+from loomgraph.llm.pieces import PieceEncoder, Splitter
 from loomgraph.llm.textcodes import mix
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,7 +46,7 @@ def library():
 
 def test_merge_is_the_plain_loop(library):
     ranks = library[1]
-    longest = max(map(len, ranks))
+    merger = bpe.Merger.of_ranks(ranks)
     draw = random.Random(7)
 
     def plain(piece):
@@ -61,7 +61,9 @@ def test_merge_is_the_plain_loop(library):
     for n in [1, 2, 3, 4, 5, 7, 8, 9, 31, 64, 200]:
         for letters in (b"a", b"ab", b"etaoin shr", bytes(range(256))):
             piece = bytes(draw.choice(letters) for _ in range(n))
-            assert bpe.merge(piece, ranks, longest) == plain(piece)
+            assert bpe.merge([ranks[bytes([c])] for c in piece], merger._order, merger._merged) == plain(piece)
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 90))) for letters in ("ab", "etaoin shr", "éß漢") for _ in range(200)]
+    assert merger(texts) == [np.array(plain(t.encode()) if t.encode() not in ranks else [ranks[t.encode()]], "<u4").tobytes() for t in texts]
 
 
 def test_bpe_is_the_library_and_comes_back(spark, documents, odd, tricky, library):
@@ -93,6 +95,17 @@ def test_pieces_of_long_texts_come_in_stretches(monkeypatch):
     assert max(map(len, parts)) == 7 and [p for part in parts for p in part] == whole and "".join(whole) == LONG
 
 
+def test_memo_may_be_emptied_at_any_time(monkeypatch, library):
+    encoding, ranks = library
+    merger = bpe.Merger.of_ranks(ranks)
+    for memo, stretch in ((1 << 18, 1 << 18), (3, 5), (0, 1)):
+        monkeypatch.setattr("loomgraph.llm.pieces.MEMO", memo)
+        monkeypatch.setattr("loomgraph.llm.pieces.STRETCH", stretch)
+        encode = PieceEncoder(merger).encode
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode(["", *ODD])] == [encoding.encode_ordinary(t) for t in ["", *ODD]]
+
+
 def plain_middle(doc_id, text):
     text = text or ""
     units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
@@ -193,6 +206,18 @@ def test_alignment_of_no_rows(empty):
     assert align.align_report(empty).collect() == []
 
 
+def test_byte_level_ids_are_the_library(documents):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(align.BYTE_MODEL)
+    model.encode_special_tokens = True
+    encode = PieceEncoder(align.byte_vocabulary(open(align.BYTE_MODEL, "rb").read())[0]).encode
+    every = ["".join(map(chr, range(lo, lo + 0x100))) + "'s" for lo in [*range(0, 0xD800, 0x100), *range(0xE000, 0x20000, 0x100)]]
+    texts = [*ODD, LONG, *every, *(r["text"] or "" for r in documents.collect())]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
+    assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_special_strings_are_plain_text(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<s> </s> <0x41> ▁x")], "doc_id int, text string")
     got = sorted((str(r[0]), *r[1:]) for r in align.align_report(df).collect())
