@@ -41,6 +41,8 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PAIRS = 1 << 22
 # Pairs a shard of the hash holds on average.
 SHARD_PAIRS = 1 << 14
+# Bytes of text, and of packed ids, that a task works on at once.
+TEXT_BYTES, ID_BYTES = 1 << 20, 1 << 19
 # Vectors that one task of the tree adds up.
 FAN = 16
 # Distinct pairs a task holds before it hands them on.
@@ -54,6 +56,11 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _kind(length: np.ndarray) -> np.dtype:
+    """Little-endian unsigned integers that hold every id of a vocabulary."""
+    return np.dtype("<u2" if len(length) <= 1 << 16 else "<u4")
+
+
 class _Vocabulary:
     def __init__(self, tokens: list[bytes]):
         self.tokens = pa.array(tokens, pa.large_binary())
@@ -101,14 +108,15 @@ def piece_vocabulary(content: bytes):
 
 
 def tokens(docs: DataFrame, text: str, id: str, byte_model: str, piece_model: str) -> DataFrame:
-    """(id, a, b): both id rows, packed as little-endian unsigned 32-bit integers; none where a text is null, empty or not reproduced."""
+    """(id, a, b): both id rows, packed as ``_kind`` says; none where a text is null, empty or not reproduced."""
     shared = docs.sparkSession.sparkContext.broadcast((_content(byte_model), _content(piece_model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_model, a_words = byte_vocabulary(shared.value[0])
         b_model, b_words = piece_vocabulary(shared.value[1])
         encoder = PieceEncoder(a_model)
-        for batch in slices(batches, 1):
+        kinds = [_kind(w.length) for w in (a_words, b_words)]
+        for batch in slices(batches, 1, TEXT_BYTES):
             raw = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             texts = [t.decode("utf-8", "replace") for t in raw]
             a_ids = [np.frombuffer(ids, "<u4") for ids in encoder.encode([" " + t if t else "" for t in texts])]
@@ -116,8 +124,8 @@ def tokens(docs: DataFrame, text: str, id: str, byte_model: str, piece_model: st
             columns = ([], [])
             for whole, a, b in zip(raw, a_ids, b_ids):
                 good = bool(whole) and a_words.joined(a) == b" " + whole and b_words.joined(b) == b" " + whole
-                columns[0].append(a.tobytes() if good else b"")
-                columns[1].append(b.tobytes() if good else b"")
+                for column, ids, kind in zip(columns, (a, b), kinds):
+                    column.append(ids.astype(kind).tobytes() if good else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["id", "a", "b"])
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -129,12 +137,12 @@ def _content(path: str) -> bytes:
         return file.read()
 
 
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of packed rows, and how many each row has."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw.view("<u4") if raw.ctypes.data % 4 == 0 else raw.copy().view("<u4"), (np.diff(at) // 4).astype(np.int64)
+    return raw.copy().view(kind).astype(np.int64), (np.diff(at) // kind.itemsize).astype(np.int64)
 
 
 class Aligned:
@@ -145,7 +153,8 @@ class Aligned:
     """
 
     def __init__(self, a_column: pa.Array, b_column: pa.Array, a_length: np.ndarray, b_length: np.ndarray):
-        (self.a, self.n_a), (self.b, self.n_b) = map(_unpacked, (a_column, b_column))
+        self.a, self.n_a = _unpacked(a_column, _kind(a_length))
+        self.b, self.n_b = _unpacked(b_column, _kind(b_length))
         a_end, b_end = np.cumsum(a_length[self.a]), np.cumsum(b_length[self.b])
         total = int(a_end[-1]) if len(a_end) else 0
         marks = np.zeros((2, total + 1), bool)
@@ -153,7 +162,7 @@ class Aligned:
         joint = marks[0] & marks[1]
         self.a_at, self.b_at = np.flatnonzero(joint[a_end]), np.flatnonzero(joint[b_end])
         self.row = np.repeat(np.arange(len(self.n_a)), self.n_a)[self.a_at]
-        self.keys = (self.a[self.a_at].astype(np.int64) << 32) | self.b[self.b_at].astype(np.int64)
+        self.keys = (self.a[self.a_at] << 32) | self.b[self.b_at]
         self.links = np.bincount(self.row, minlength=len(self.n_a))
 
     def group_texts(self, a_words: pa.Array, b_words: pa.Array) -> list[bytes]:
@@ -164,8 +173,8 @@ class Aligned:
         a_last, b_last = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
         a_last[self.a_at], b_last[self.b_at] = 1, 1
         code = np.empty(len(self.a) + len(self.b), np.int64)
-        code[np.arange(len(self.a)) + np.repeat(before_a, n_a)] = 2 * self.a.astype(np.int64) + a_last
-        code[np.arange(len(self.b)) + np.repeat(before_b, n_b)] = len(a_words) + 2 * self.b.astype(np.int64) + b_last
+        code[np.arange(len(self.a)) + np.repeat(before_a, n_a)] = 2 * self.a + a_last
+        code[np.arange(len(self.b)) + np.repeat(before_b, n_b)] = len(a_words) + 2 * self.b + b_last
         if not len(code):
             return [b""] * len(self.n_a)
         taken = pc.take(pa.concat_arrays([a_words, b_words]), pa.array(code))
@@ -187,7 +196,7 @@ def linked_pairs(ids: DataFrame, a_length, b_length) -> DataFrame:
         def rows(keys: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(mix(keys.astype(np.uint64)).view(np.int64)), pa.array(keys)], ["h", "key"])
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, ID_BYTES):
             new = Aligned(batch.column(1), batch.column(2), a_length.value, b_length.value).keys
             held = np.union1d(held, new)
             if len(held) > HELD:
@@ -236,7 +245,7 @@ def count_vectors(ids: DataFrame, function, sizes: list[tuple[int, int]], a_leng
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = function.value
         dense = np.zeros(sum(n for _, n in sizes), np.int64)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, ID_BYTES):
             place = table.places(Aligned(batch.column(1), batch.column(2), a_length.value, b_length.value).keys)
             spot, often = np.unique(place[place >= 0], return_counts=True)
             dense[spot] += often
@@ -279,7 +288,7 @@ def _looked_up(ids: DataFrame, function, counts, best, a_length, b_length) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_words, b_words = _marked(len(a_length.value), ",", "|"), _marked(len(b_length.value), ",", ";")
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, ID_BYTES):
             laid = Aligned(batch.column(1), batch.column(2), a_length.value, b_length.value)
             place = function.value.places(laid.keys)
             known = place >= 0
