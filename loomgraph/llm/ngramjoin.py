@@ -41,7 +41,7 @@ TASK_SUMMARY, SUMMARY = 1 << 16, 1 << 18
 #: Documents of one shingle that meet one pivot in one task, on average.
 HOT = 100_000
 #: Prefix rows sorted in one task.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 18
 #: Cells of a set at least; longer sets have a cell for about two members.
 CELLS = 256
 #: 64-bit words of the table that tells which sets are wanted (8 MB).
@@ -199,9 +199,13 @@ def _with_pivots(rows: DataFrame, tasks: int) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
+        del got
         g, salt, node, n, pos, centre = (t.column(i).to_numpy() for i in range(6))
+        del t
         order = np.lexsort((node, -centre, salt, g))
+        del centre
         g, salt, node, n, pos = g[order], salt[order], node[order], n[order], pos[order]
+        del order
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])  # copies met by other tasks
         g, salt, node, n, pos = g[new], salt[new], node[new], n[new], pos[new]

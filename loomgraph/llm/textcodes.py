@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,7 +38,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
 _BYTE_LOWER = _BYTE[_LOWER]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def chain(base: int) -> np.ndarray:
         p = np.full(n, base, np.uint64)
@@ -81,7 +81,7 @@ class Block:
         if not len(begin):
             return np.zeros(0, np.uint64)
         n = len(self.data)
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         up, down = _powers(size)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * up[:n], out=total[1:])
