@@ -145,42 +145,64 @@ def assign_to_poles(stats: DataFrame, corr_a: DataFrame, corr_b: DataFrame, anch
 
 
 def capacities(obs: DataFrame, mass: DataFrame, target: int, mode: str = "mass_exact", coords: Sequence[str] = ()) -> DataFrame:
-    """Capacity of each slice node under one of four policies."""
+    """Capacity of each slice node under one of four policies; fewer places than ``target`` are an error or, spread in space, filled up."""
     if mode == "mass_exact":
         return largest_remainder(mass, "node_id", "mass", target).select("node_id", "capacity")
+    even = obs.select("node_id", F.lit(1.0).alias("mass"))
     if mode == "uniform_exact":
-        return largest_remainder(obs.select("node_id", F.lit(1.0).alias("mass")), "node_id", "mass", target).select("node_id", "capacity")
+        return largest_remainder(even, "node_id", "mass", target).select("node_id", "capacity")
     if mode == "unit_upper":
+        places = obs.count()
+        if places < target:
+            raise ValueError(f"{places} places of one unit cannot take {target}")
         return obs.select("node_id", F.lit(1).cast("long").alias("capacity"))
     if mode == "spatial_fps_exact":
-        chosen = farthest_points(obs, coords, target)
-        return obs.select("node_id").join(chosen.withColumn("capacity", F.lit(1).cast("long")), "node_id", "left").select("node_id", F.coalesce("capacity", F.lit(0)).alias("capacity"))
+        places = obs.count()
+        if target >= places:  # every place is chosen, and what is left is spread evenly
+            more = largest_remainder(even, "node_id", "mass", target - places)
+            return more.select("node_id", (F.col("capacity") + 1).cast("long").alias("capacity"))
+        chosen = farthest_points(obs, coords, target).withColumn("capacity", F.lit(1).cast("long"))
+        return obs.select("node_id").join(chosen, "node_id", "left").select("node_id", F.coalesce("capacity", F.lit(0).cast("long")).alias("capacity"))
     raise ValueError(f"unknown capacity mode {mode}")
 
 
-def farthest_points(points: DataFrame, coords: Sequence[str], k: int) -> DataFrame:
-    """Greedy farthest-point order: the first is nearest to the centre.
+def farthest_points(points: DataFrame, coords: Sequence[str], k: int, block: int = 64) -> DataFrame:
+    """Greedy farthest-point order: the first is nearest to the centre; ties go to the smaller id.
 
-    Each step is one aggregate over the running distances; ties go to the
-    smaller id.  The distance column is materialised every few steps.
+    The next choices are among the points that are now farthest: a pass takes
+    the ``block`` farthest, and choosing among them is right for as long as the
+    farthest of them is no nearer than any point outside at the pass's start,
+    since distances only fall.  One pass over the points thus serves up to
+    ``block`` choices and one update.
     """
     spark = points.sparkSession
     centre = points.agg(*[F.avg(c) for c in coords]).first()
     d0 = sum(((F.col(c) - float(m)) ** 2 for c, m in zip(coords, centre)), F.lit(0.0))
     first = points.agg(F.min(F.struct(d0.alias("d"), "node_id", *coords)).alias("b")).first()["b"]
-    chosen = [first]
+    if first is None or k < 1:
+        return spark.createDataFrame([], "node_id long")
+    done = new = [(first["node_id"], tuple(first[c] for c in coords))]
     state = points.select("node_id", *coords, F.lit(float("inf")).alias("low"))
-    for step in range(1, k):
-        last = chosen[-1]
-        d = sum(((F.col(c) - float(last[c])) ** 2 for c in coords), F.lit(0.0))
-        state = state.withColumn("low", F.when(F.col("node_id") == last["node_id"], F.lit(float("-inf"))).otherwise(F.least("low", d)))
-        if step % 8 == 0:
-            state = cut(state)
-        nxt = state.where(F.col("low") > float("-inf")).agg(F.max(F.struct("low", (-F.col("node_id")).alias("neg"), "node_id", *coords)).alias("b")).first()["b"]
-        if nxt is None:
+    while len(done) < k:
+        low = F.col("low")
+        for _, at in new:
+            low = F.least(low, sum(((F.col(c) - float(v)) ** 2 for c, v in zip(coords, at)), F.lit(0.0)))
+        state = cut(state.where(~F.col("node_id").isin([n for n, _ in new])).withColumn("low", low))
+        top = state.orderBy(F.desc("low"), "node_id").limit(block + 1).collect()
+        if not top:
             break
-        chosen.append(nxt)
-    return spark.createDataFrame([(int(r["node_id"]),) for r in chosen], "node_id long")
+        bound = (top[block]["low"], -top[block]["node_id"]) if len(top) > block else None
+        near = {r["node_id"]: (r["low"], tuple(r[c] for c in coords)) for r in top[:block]}
+        new = []
+        while near and len(done) + len(new) < k:
+            pick = max(near, key=lambda n: (near[n][0], -n))
+            if bound is not None and new and (near[pick][0], -pick) < bound:
+                break
+            at = near.pop(pick)[1]
+            new.append((pick, at))
+            near = {n: (min(d, sum((x - y) ** 2 for x, y in zip(p, at))), p) for n, (d, p) in near.items()}
+        done = done + new
+    return spark.createDataFrame([(int(n),) for n, _ in done], "node_id long")
 
 
 def huber_costs(arcs: DataFrame, features: Sequence[str], delta: float = HUBER_DELTA) -> DataFrame:

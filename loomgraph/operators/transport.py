@@ -6,17 +6,25 @@ optimal (Bertsekas and Castanon, "The auction algorithm for the transportation
 problem").  Every round is one join of the open rows' arcs with the column
 prices and two aggregations; several problems (``keys``, for instance the
 members of an ensemble) are solved in the same rounds.
+
+``optimal`` needs no small bid step: a coarse auction finds places for all
+rows, then units move along negative cycles of the graph of columns (an edge is
+the cheapest move of a row from one column to another) until none is left.
+Shortest distances in that graph are then prices that prove the optimum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.core.session import cut
+from loomgraph.operators.registration import lexicographic
 
 
 def auction(
@@ -87,23 +95,184 @@ def assignment_hash(assignment: DataFrame, keys: Sequence[str]) -> DataFrame:
     return assignment.groupBy(*keys).agg(h.alias("hash"), F.sum("unit_cost").alias("objective"), F.count(F.lit(1)).alias("n"))
 
 
+# The column that stands for spare capacity; columns have numbers from 0 on.
+POOL = -1
+# Rows that may take one edge of a cycle in the same step.
+BUNDLE = 64
+
+
+@dataclass
+class Optimum:
+    assigned: DataFrame  # keys, a, b, unit_cost
+    prices: DataFrame  # keys, b, price: 0 where capacity is spare, never negative
+    rest: DataFrame  # keys, a: rows for which the candidates leave no place
+    steps: int
+
+
+def _column_graph(held: DataFrame, arcs: DataFrame, cols: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, w, moves): the cheapest moves of a unit from column x to y, at most ``BUNDLE`` of (gain, a) a pair in order."""
+    own = held.join(arcs, [*keys, "a", "b"]).select(*keys, "a", F.col("b").alias("x"), F.col("unit_cost").alias("own"))
+    other = arcs.select(*keys, "a", F.col("b").alias("y"), "unit_cost")
+    moves = own.join(other, [*keys, "a"]).where("x <> y").withColumn("gain", F.col("unit_cost") - F.col("own"))
+    order = Window.partitionBy(*keys, "x", "y").orderBy("gain", "a")
+    best = moves.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= BUNDLE)
+    real = best.groupBy(*keys, "x", "y").agg(F.array_sort(F.collect_list(F.struct("gain", "a"))).alias("moves"))
+    used = held.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("used"))
+    each = held.select(*keys).distinct() if keys else None
+    room = (each.crossJoin(F.broadcast(cols)) if each is not None else cols).join(used, [*keys, "b"], "left")  # a row per problem and column
+    spare = F.col("capacity") - F.coalesce("used", F.lit(0))
+    none = F.struct(F.lit(0).cast("long").alias("gain"), F.lit(None).cast(dict(held.dtypes)["a"]).alias("a"))
+    leave = room.where(spare > 0).select(*keys, F.col("b").alias("x"), F.lit(POOL).cast("long").alias("y"), F.array_repeat(none, F.least(spare, F.lit(BUNDLE)).cast("int")).alias("moves"))
+    enter = room.select(*keys, F.lit(POOL).cast("long").alias("x"), F.col("b").alias("y"), F.array_repeat(none, BUNDLE).alias("moves"))
+    out = real.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "moves")
+    return reduce(DataFrame.unionByName, [leave, enter], out).withColumn("w", F.col("moves")[0]["gain"])
+
+
+def _relaxed(edges: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """One round of Bellman and Ford: (keys, node, d, up, fell)."""
+    offers = edges.join(state.select(*keys, F.col("node").alias("x"), "d"), [*keys, "x"]).select(*keys, F.col("y").alias("node"), (F.col("d") + F.col("w")).alias("to"), "x")
+    best = offers.groupBy(*keys, "node").agg(F.min(F.struct("to", "x")).alias("_m"))
+    fell = F.coalesce(F.col("_m.to") < F.col("d"), F.lit(False))
+    both = state.select(*keys, "node", "d", "up").join(best, [*keys, "node"], "left")
+    return both.select(*keys, "node", F.when(fell, F.col("_m.to")).otherwise(F.col("d")).alias("d"), F.when(fell, F.col("_m.x")).otherwise(F.col("up")).alias("up"), fell.alias("fell"))
+
+
+def _cycles(state: DataFrame, keys: list[str], nodes: int) -> DataFrame:
+    """(keys, y, x, cycle): the edges x -> y of all cycles that the ``up`` pointers form, named by their least node; by pointer doubling."""
+    link = state.where("up is not null").select(*keys, "node", "up")
+    jump = cut(link.withColumn("low", F.least("node", "up")))
+    reach = 1
+    while reach < nodes:
+        ahead = jump.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
+        jump = cut(jump.join(ahead, [*keys, "up"]).select(*keys, "node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")))
+        reach *= 2
+        if not jump.limit(1).count():
+            break
+    on = jump.select(*keys, F.col("up").alias("node")).distinct()
+    names = jump.select(*keys, "node", F.col("low").alias("cycle"))
+    return link.join(on, [*keys, "node"]).join(names, [*keys, "node"]).select(*keys, F.col("node").alias("y"), F.col("up").alias("x"), "cycle")
+
+
+def _rotated(held: DataFrame, edges: DataFrame, cycles: DataFrame, keys: list[str]) -> DataFrame:
+    """``held`` after units moved along ``cycles``: as many on each as still pay, at most ``BUNDLE``."""
+    length = cycles.groupBy(*keys, "cycle").agg(F.count(F.lit(1)).alias("length"))
+    moves = cycles.join(edges, [*keys, "x", "y"]).select(*keys, "cycle", "y", F.posexplode("moves").alias("turn", "move"))
+    turns = moves.groupBy(*keys, "cycle", "turn").agg(F.sum("move.gain").alias("gain"), F.count(F.lit(1)).alias("edges"))
+    pays = turns.join(length, [*keys, "cycle"]).where("gain < 0 and edges = length").select(*keys, "cycle", "turn")
+    to = moves.join(pays, [*keys, "cycle", "turn"]).where("move.a is not null").select(*keys, F.col("move.a").alias("a"), F.col("y").alias("_to"))
+    new = F.coalesce(F.col("_to"), F.col("b")).cast(dict(held.dtypes)["b"])
+    return held.join(to, [*keys, "a"], "left").select(*keys, "a", new.alias("b"))
+
+
+def optimal(arcs: DataFrame, capacity: DataFrame, keys: Sequence[str] = (), max_steps: int = 10_000) -> Optimum:
+    """Assignment of least total cost, with prices that prove it.
+
+    ``arcs`` is (keys, a, b, unit_cost) with integer costs, ``capacity`` is
+    (b, capacity).  Rows without a place are in ``rest``; they need more
+    candidates, and the others' assignment is the best without them.  Every
+    step cuts the total by one at least; ``max_steps`` relaxations without an
+    end raise.
+    """
+    keys = list(keys)
+    arcs = cut(arcs.select(*keys, "a", F.col("b").cast("long").alias("b"), F.col("unit_cost").cast("long").alias("unit_cost")))
+    cols = cut(capacity.where("capacity > 0").select(F.col("b").cast("long").alias("b"), F.col("capacity").cast("long").alias("capacity")))
+    arcs = cut(arcs.join(cols.select("b"), "b", "left_semi"))
+    low, high = arcs.agg(F.min("unit_cost"), F.max("unit_cost")).first()
+    got, rest, _ = auction(arcs, cols, keys, step=max(1, ((high or 0) - (low or 0)) // 16), exact=False)
+    held, rest = cut(got.select(*keys, "a", "b")), cut(rest)
+    nodes = cols.count() + 1
+    node = cols.select(F.col("b").alias("node")).unionByName(cols.sparkSession.range(1).select(F.lit(POOL).cast("long").alias("node")))
+    problems = held.select(*keys).distinct() if keys else None
+    state = problems.crossJoin(F.broadcast(node)) if problems is not None else node
+    state = cut(state.select(*keys, "node", F.lit(0).cast("long").alias("d"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("fell")))
+    steps = 0
+    while True:
+        edges = cut(_column_graph(held, arcs, cols, keys))
+        look, done = 2, 0
+        while True:
+            steps, done = steps + 1, done + 1
+            if steps > max_steps:
+                raise RuntimeError(f"no optimum after {max_steps} steps")
+            state = cut(_relaxed(edges, state, keys))
+            if not state.where("fell").limit(1).count():
+                base = state.where(F.col("node") == POOL).select(*keys, F.col("d").alias("base"))
+                prices = state.where(F.col("node") >= 0)
+                prices = prices.join(F.broadcast(base), keys) if keys else prices.crossJoin(F.broadcast(base))
+                prices = cut(prices.select(*keys, F.col("node").alias("b"), (F.col("base") - F.col("d")).alias("price")))
+                return Optimum(held.join(arcs, [*keys, "a", "b"]).select(*keys, "a", "b", "unit_cost"), prices, rest, steps)
+            if done == look:
+                look *= 2
+                cycles = cut(_cycles(state, keys, nodes))
+                if cycles.limit(1).count():
+                    held = cut(_rotated(held, edges, cycles, keys))
+                    state = cut(state.withColumn("up", F.lit(None).cast("long")))
+                    break
+
+
+def certificate(arcs: DataFrame, capacity: DataFrame, found: Optimum, keys: Sequence[str] = ()) -> DataFrame:
+    """Per problem: rows placed, total cost, dual total, and the arcs and columns that break optimality (0 for an optimum).
+
+    ``negative`` counts arcs that would be cheaper than a row's own at the
+    prices, ``loose`` columns with spare capacity and a price, ``over`` columns
+    beyond their capacity.  With none of them both totals agree.
+    """
+    keys = list(keys)
+    priced = arcs.join(found.prices, [*keys, "b"]).withColumn("full", F.col("unit_cost") + F.col("price"))
+    own = found.assigned.join(found.prices, [*keys, "b"]).select(*keys, "a", "unit_cost", (F.col("unit_cost") + F.col("price")).alias("paid"))
+    rows = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("placed"), F.sum("unit_cost").alias("total"), F.sum("paid").alias("paid"))
+    worse = priced.select(*keys, "a", "full").join(own.select(*keys, "a", "paid"), [*keys, "a"])
+    bad = worse.groupBy(*keys).agg(F.count(F.when(F.col("full") < F.col("paid"), 1)).alias("negative"))
+    used = found.assigned.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("used"))
+    columns = found.prices.join(F.broadcast(capacity.select("b", "capacity")), "b").join(used, [*keys, "b"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    sides = columns.groupBy(*keys).agg(
+        F.sum(F.col("price") * F.col("capacity")).alias("rent"), F.count(F.when((F.col("used") < F.col("capacity")) & (F.col("price") != 0), 1)).alias("loose"),
+        F.count(F.when((F.col("used") > F.col("capacity")) | (F.col("price") < 0), 1)).alias("over"),
+    )
+    both = rows.join(bad, keys).join(sides, keys) if keys else rows.crossJoin(bad).crossJoin(sides)
+    return both.select(*keys, "placed", "total", (F.col("paid") - F.col("rent")).alias("dual"), "negative", "loose", "over")
+
+
+def member_costs(arcs: DataFrame, members: int, mode: str, size: int, seed: int = 0) -> DataFrame:
+    """(member, a, b, unit_cost) of ``members`` problems; member m draws from seed + 1000003 m.
+
+    ``base`` changes nothing, ``perturb`` adds an integer of [-size, size] to
+    every arc (shifted so that no cost is negative), ``lexicographic`` breaks
+    ties of the total by an integer of [0, size] per arc.
+    """
+    each = arcs.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    draw = F.xxhash64("a", "b", F.lit(seed) + F.lit(1_000_003) * F.col("member"))
+    if mode == "base":
+        out = each
+    elif mode == "perturb":
+        noisy = each.withColumn("unit_cost", F.col("unit_cost") + F.pmod(draw, F.lit(2 * size + 1)) - F.lit(size))
+        shift = noisy.groupBy("member").agg(F.least(F.min("unit_cost"), F.lit(0)).alias("_shift"))
+        out = noisy.join(F.broadcast(shift), "member").withColumn("unit_cost", F.col("unit_cost") - F.col("_shift"))
+    elif mode == "lexicographic":
+        rows = arcs.select("a").distinct().count()
+        out = lexicographic(each.withColumn("_tie", F.pmod(draw, F.lit(max(1, size) + 1))), "_tie", rows)
+    else:
+        raise ValueError(f"unknown ensemble mode {mode}")
+    return out.select("member", "a", "b", F.col("unit_cost").cast("long").alias("unit_cost"))
+
+
 def ensemble(
-    arcs: DataFrame, capacity: DataFrame, size: float, members: int, band: float | None = None, seed: int = 0, step: int = 1, exact: bool = False
+    arcs: DataFrame, capacity: DataFrame, size: int, members: int = 16, mode: str = "perturb", relative: float = 0.0, absolute: float = 0.0, keep: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Assignments of perturbed problems, without repeats and outside the band.
+    """(member, a, b, unit_cost, objective): exact optima of changed costs, with the base costs and their total.
 
-    Member m adds noise from seed + 1000003 m.  All members are solved in one
-    auction; ``band`` keeps members whose unperturbed objective is within that
-    share of the best.
+    Equal assignments stay once, those with the smallest (objective, member)
+    first; objectives may exceed the best by ``absolute`` plus ``relative``
+    times its size, and ``keep`` bounds how many members stay (all by default).
     """
-    each = arcs.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    u = F.pmod(F.xxhash64("a", "b", F.lit(seed) + F.lit(1_000_003) * F.col("member")), F.lit(2_000_003)) / 2_000_003.0
-    noisy = each.select("member", "a", "b", F.round(F.col("unit_cost") + F.when(F.col("member") > 0, u * size).otherwise(0.0)).cast("long").alias("unit_cost"))
-    solved, _, _ = auction(noisy, capacity, ["member"], step, exact)
-    solved = cut(solved.drop("unit_cost").join(arcs.select("a", "b", "unit_cost"), ["a", "b"]))
-    marks = assignment_hash(solved, ["member"])
-    first = marks.groupBy("hash").agg(F.min("member").alias("member"), F.min("objective").alias("objective"))
-    if band is not None:
-        best = first.agg(F.min("objective").alias("best"))
-        first = first.join(F.broadcast(best)).where(F.col("objective") <= F.col("best") * (1 + band))
-    return solved.join(F.broadcast(first.select("member", "objective")), "member")
+    arcs = cut(arcs.select("a", F.col("b").cast("long").alias("b"), "unit_cost"))
+    solved = optimal(member_costs(arcs, members, mode, size, seed), capacity, ["member"])
+    if solved.rest.limit(1).count():
+        raise ValueError("the candidates leave rows without a place")
+    base = cut(solved.assigned.drop("unit_cost").join(arcs, ["a", "b"]))
+    marks = assignment_hash(base, ["member"])  # one row a member
+    first = marks.groupBy("hash").agg(F.min(F.struct("objective", "member")).alias("m")).select("m.*")
+    best = first.agg(F.min("objective").alias("best"))
+    inside = first.join(F.broadcast(best)).where(F.col("objective") <= F.col("best") + F.lit(absolute) + F.lit(relative) * F.greatest(F.abs("best"), F.lit(1e-12)))
+    if keep is not None:
+        inside = inside.orderBy("objective", "member").limit(keep)
+    return base.join(F.broadcast(inside.select("member", "objective")), "member").select("member", "a", "b", "unit_cost", "objective")
