@@ -1,17 +1,21 @@
-"""Density clustering: mutual reachability, spanning forest, stable groups."""
+"""Density clustering: mutual reachability, spanning forest, labels of the exact hierarchy."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.core.order import group_index
 from loomgraph.core.session import cut
 from loomgraph.core.skew import lookup
+from loomgraph.operators import graph as G
 from loomgraph.operators import knn as N
-from loomgraph.operators.components import components
+from loomgraph.operators.components import components, curate_noise, relabel_contiguous
+from loomgraph.operators.hierarchy import stable_labels
 
 
 def mutual_reachability(points: DataFrame, coords: Sequence[str], min_samples: int) -> DataFrame:
@@ -55,66 +59,95 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return chosen
 
 
-def _close(cur: DataFrame, density: float) -> DataFrame:
-    """Groups that end at this density: their best mass and whether they win."""
-    own = F.col("mass") - F.col("n") * F.lit(density)
-    return cur.select("g", "up", F.greatest(own, F.col("below")).alias("best"), (own >= F.col("below")).alias("wins"))
+def density_clusters(forest: DataFrame, nodes: DataFrame, min_size: int) -> DataFrame:
+    """(node_id, label): most stable clusters of the forest's hierarchy, -1 noise."""
+    return stable_labels(forest, nodes, min_size)
 
 
-def density_clusters(forest: DataFrame, nodes: DataFrame, min_size: int, levels: int = 24) -> DataFrame:
-    """(node_id, label): most stable groups of the density hierarchy, -1 noise.
-
-    The hierarchy is read at ``levels`` quantiles of the forest's edge lengths,
-    from dense to sparse.  At each, groups joined by the new edges merge.  A
-    group of ``min_size`` nodes is a cluster; it gathers each member's density
-    of entry.  Where two or more clusters merge they end: a cluster wins over
-    the clusters below it if its excess of mass is at least theirs.  A single
-    remaining root does not count.  Tables per group are far smaller than the
-    node table; a level costs one component search over its own edges.
-    """
-    cuts = F.array(*[F.lit(q / levels) for q in range(1, levels + 1)])
-    row = forest.agg(F.percentile_approx("d", cuts, F.lit(10_000)).alias("q")).first()["q"] or []
-    state = cut(nodes.select("node_id", F.col("node_id").alias("g"), F.lit(-1).cast("long").alias("label")))
-    cur = state.select("g", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below")).limit(0)
-    low = float("-inf")
-    for t in sorted(set(float(v) for v in row)):
-        density = 1.0 / max(t, 1e-12)
-        band = forest.where((F.col("d") <= t) & (F.col("d") > low))
-        a = lookup(band, state.select(F.col("node_id").alias("i"), F.col("g").alias("gi")), "i")
-        pairs = lookup(a, state.select(F.col("node_id").alias("j"), F.col("g").alias("gj")), "j").select("gi", "gj")
-        up = cut(components(pairs, "gi", "gj").select(F.col("node_id").alias("g"), F.col("comp").alias("up")))
-        moved = cut(lookup(state, up, "g", "left").select("node_id", "g", F.coalesce("up", "g").alias("up"), "label"))
-        size = moved.groupBy("up").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-        kids = cur.join(up, "g", "left").select("g", F.coalesce("up", "g").alias("up"), "n", "mass", "below")
-        count = kids.groupBy("up").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("below").alias("below"))
-        ended = cut(_close(kids.join(count.where("c > 1").select("up"), "up", "left_semi"), density))
-        won = ended.where("wins").select("g", F.col("g").alias("name"))
-        moved = lookup(moved, won, "g", "left").select("node_id", F.col("up").alias("g"), F.coalesce("name", "label").alias("label"))
-        state = cut(moved)
-        gathered = ended.groupBy("up").agg(F.sum("best").alias("gathered"))
-        x = size.join(count, "up", "left").join(gathered, "up", "left")
-        whole = F.col("size") * density
-        cur = cut(
-            x.select(
-                F.col("up").alias("g"),
-                F.col("size").alias("n"),
-                F.when(F.col("c") == 1, F.col("mass") + (F.col("size") - F.col("n")) * density).otherwise(whole).alias("mass"),
-                F.when(F.col("c") == 1, F.col("below")).otherwise(F.coalesce("gathered", F.lit(0.0))).alias("below"),
-            )
-        )
-        low = t
-    if cur.limit(2).count() > 1:  # several roots end at density 0
-        won = _close(cur.withColumn("up", F.col("g")), 0.0).where("wins").select("g", F.col("g").alias("name"))
-        state = lookup(state, won, "g", "left").select("node_id", "g", F.coalesce("name", "label").alias("label"))
-    return state.select("node_id", "label")
-
-
-def cluster_points(points: DataFrame, coords: Sequence[str], min_size: int = 50, min_samples: int = 50, levels: int = 24) -> DataFrame:
+def cluster_points(points: DataFrame, coords: Sequence[str], min_size: int = 50, min_samples: int = 50) -> DataFrame:
     forest = spanning_forest(mutual_reachability(points, coords, min_samples))
-    return density_clusters(forest, points.select("node_id"), min_size, levels)
+    return density_clusters(forest, points.select("node_id"), min_size)
 
 
-def cluster_distances(distances: DataFrame, nodes: DataFrame, min_size: int, min_samples: int, levels: int = 24) -> DataFrame:
-    """Clusters of a sparse distance graph, as for -log transport weights."""
+def cluster_distances(distances: DataFrame, nodes: DataFrame, min_size: int, min_samples: int) -> DataFrame:
+    """Clusters of a sparse distance graph (i, j, d)."""
     forest = spanning_forest(reachability_of(distances, min_samples))
-    return density_clusters(forest, nodes, min_size, levels)
+    return density_clusters(forest, nodes, min_size)
+
+
+def component_reachability(distances: DataFrame, min_samples: int, self_distance: float) -> DataFrame:
+    """Edges (i, j, d) of a symmetric distance graph with the core places of its components.
+
+    A node is its own first neighbour, at ``self_distance``.  The core is the
+    distance in place ``min_samples`` + 1, or in a later place's stead the last
+    one that every node of the component has (at least the second).
+    """
+    distances = cut(distances.where("i <> j").select("i", "j", F.greatest("d", F.lit(self_distance)).alias("d")))
+    comp = cut(components(distances, "i", "j").withColumnRenamed("node_id", "i"))
+    rows = distances.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("n"))
+    per = lookup(rows, comp, "i").groupBy("comp").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
+    place = F.greatest(F.lit(2), F.least(F.lit(max(2, min_samples + 1)), "size", "least"))
+    wanted = cut(lookup(comp, per.select("comp", place.alias("place")), "comp").select("i", "place"))
+    ranked = group_index(distances, ["i"], [F.col("i"), F.col("d"), F.col("j")], "pos")
+    core = cut(lookup(ranked, wanted, "i").where("pos = place - 2").select("i", F.col("d").alias("core")))
+    e = distances.where("i < j")
+    x = lookup(lookup(e, core, "i"), core.select(F.col("i").alias("j"), F.col("core").alias("cj")), "j")
+    return x.select("i", "j", F.greatest("d", "core", "cj").alias("d"))
+
+
+def cluster_transport(weights: DataFrame, nodes: DataFrame, min_size: int = 50, min_samples: int = 50, eps: float = 1e-12) -> DataFrame:
+    """(node_id, label): density clusters of -log transport weights, component by component.
+
+    ``weights`` (i, j, w) is made symmetric with the larger weight; self edges
+    do not count.  Distances lie between ``eps`` and -ln(``eps``).  A component
+    that has no stabler parts is a cluster itself.  Noise then takes the
+    majority label of its neighbours, and labels are numbered from 0.  Nodes
+    without an edge are noise.
+    """
+    pruned = cut(G.symmetrise(weights.where("i <> j and w > 0"), "max"))
+    d = F.least(F.greatest("dist", F.lit(eps)), F.lit(-math.log(eps)))
+    reach = component_reachability(G.transport_distance(pruned).select("i", "j", d.alias("d")), min_samples, eps)
+    labels = stable_labels(spanning_forest(reach), nodes, min_size, "always")
+    return curated(labels, pruned)
+
+
+def curated(labels: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Noise takes the majority label of its neighbours (i, j) until it rests; labels from 0."""
+    revised, _ = curate_noise(adjacency.select(F.col("i").alias("src"), F.col("j").alias("dst")), labels)
+    return relabel_contiguous(revised)
+
+
+def segment(
+    points: DataFrame | None,
+    coords: Sequence[str],
+    adjacency: DataFrame | None,
+    which: str = "both",
+    min_size: int = 50,
+    min_samples: int = 50,
+    **community_options,
+) -> DataFrame:
+    """(node_id, density_label, map_label), -1 where a way is not asked for.
+
+    ``which`` is "density" (clusters of the points, curated on ``adjacency``),
+    "map" (communities of ``adjacency`` by the map equation, those below
+    ``min_size`` noise) or "both".
+    """
+    if which not in ("density", "map", "both"):
+        raise ValueError(f"which: density, map or both, not {which}")
+    if adjacency is None or (points is None and which != "map"):
+        raise ValueError(f"{which} needs an adjacency" + ("" if which == "map" else " and points"))
+    if points is not None:
+        nodes = points.select("node_id")
+    else:
+        nodes = adjacency.select(F.col("i").alias("node_id")).unionByName(adjacency.select(F.col("j").alias("node_id"))).distinct()
+    out = nodes.withColumn("density_label", F.lit(-1).cast("long")) if which == "map" else (
+        curated(cluster_points(points, coords, min_size, min_samples), adjacency).withColumnRenamed("label", "density_label")
+    )
+    if which == "density":
+        return out.withColumn("map_label", F.lit(-1).cast("long"))
+    from loomgraph.operators.communities import communities
+
+    found = communities(adjacency, "map", **community_options)
+    large = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("label")
+    kept = relabel_contiguous(lookup(found, large, "label").select("node_id", "label")).withColumnRenamed("label", "map_label")
+    return out.join(kept, "node_id", "left").fillna(-1, ["map_label"])

@@ -164,6 +164,27 @@ def fallback_edges(sym: DataFrame, neighbours: DataFrame, least: int, factor: fl
     return take.select("i", "j", (F.coalesce("low", F.lit(1.0)) * factor).alias("w"))
 
 
+def fallback_distances(distances: DataFrame, neighbours: DataFrame, least: int, fill: float, comp: DataFrame | None = None) -> DataFrame:
+    """Weak edges (i, j, d) that give rows of a distance graph ``least`` entries.
+
+    A row short of entries takes its nearest missing neighbours (node_id, nbr,
+    rank), inside its own component where ``comp`` (node_id, comp) is given.
+    Edges are added both ways; where both ends add the same one ``fill`` counts twice.
+    """
+    if fill <= 0:
+        raise ValueError("fill must be positive")
+    near = neighbours.select(F.col("node_id").alias("i"), F.col("nbr").alias("j"), "rank").where("i <> j")
+    have = distances.groupBy("i").agg(F.count(F.lit(1)).alias("have"))
+    near = near.join(have, "i", "left").withColumn("lack", least - F.coalesce("have", F.lit(0))).where("lack > 0")
+    if comp is not None:
+        a = comp.select(F.col("node_id").alias("i"), F.col("comp").alias("ci"))
+        near = lookup(lookup(near, a, "i"), a.select(F.col("i").alias("j"), F.col("ci").alias("cj")), "j").where("ci = cj")
+    missing = near.join(distances.select("i", "j"), ["i", "j"], "left_anti")
+    w = Window.partitionBy("i").orderBy("rank", "j")  # as many rows as a node has listed neighbours
+    added = missing.withColumn("p", F.row_number().over(w)).where("p <= lack").select("i", "j")
+    both = added.unionByName(added.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    return both.groupBy("i", "j").agg((F.count(F.lit(1)) * F.lit(float(fill))).alias("d"))
+
 def node_statistics(sym: DataFrame, points: DataFrame, coords: Sequence[str]) -> DataFrame:
     e = with_coords(sym, points, coords).withColumn("d2", distance2(coords))
     return e.groupBy("i").agg(

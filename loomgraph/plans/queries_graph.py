@@ -252,6 +252,52 @@ def fallback_knn_edges(spark, folder):
     return out.select("i", "j", F.round("w", 9).alias("w"))
 
 
+@query("final_coarse_flow", f"""WITH RECURSIVE {GEO}, {T.HUB}, labels AS (SELECT node_id, CASE WHEN node_id % 11 = 0 THEN -1 ELSE label * 40 + node_id % 37 END AS label FROM points),
+b AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS super, count(*) AS size FROM labels WHERE label >= 0 GROUP BY label), member AS (SELECT node_id, super FROM labels JOIN b USING (label)),
+links AS (SELECT i, j, w FROM kg WHERE w > 0.9 AND abs(i - j) % 2 = 0), tot AS (SELECT i, sum(w) AS s FROM kg GROUP BY 1), tr AS (SELECT i, j, w / s AS w FROM kg JOIN tot USING (i)),
+lc AS (SELECT a.super AS si, c.super AS sj, sum(w) AS w FROM links JOIN member a ON a.node_id = i JOIN member c ON c.node_id = j WHERE a.super <> c.super GROUP BY ALL),
+pc AS (SELECT a.super AS si, c.super AS sj, sum(w) AS w FROM tr JOIN member a ON a.node_id = i JOIN member c ON c.node_id = j WHERE a.super <> c.super GROUP BY ALL),
+ends AS MATERIALIZED (SELECT si AS a, sj AS b FROM lc UNION SELECT sj, si FROM lc UNION SELECT super, super FROM b),
+prop(it, node, comp) AS (SELECT 0, a, a FROM ends WHERE a = b UNION ALL SELECT p.it + 1, e.a, min(p.comp) FROM prop p JOIN ends e ON e.b = p.node WHERE p.it < 100 GROUP BY p.it, e.a),
+comp AS (SELECT node AS super, comp FROM prop WHERE it = 100), top AS (SELECT comp FROM comp JOIN b USING (super) GROUP BY comp ORDER BY sum(size) DESC, comp LIMIT 1),
+kept AS (SELECT super, row_number() OVER (ORDER BY super) - 1 AS pos, size FROM comp JOIN top USING (comp) JOIN b USING (super)),
+cen AS (SELECT pos, avg(x0) AS x0, avg(x1) AS x1 FROM points JOIN member USING (node_id) JOIN kept USING (super) GROUP BY 1)
+SELECT 'link' AS part, a.pos AS i, CAST(c.pos AS VARCHAR) AS j, round(w, 6) AS w FROM lc JOIN kept a ON a.super = si JOIN kept c ON c.super = sj
+UNION ALL SELECT 'transport', a.pos, CAST(c.pos AS VARCHAR), round(w, 6) FROM pc JOIN kept a ON a.super = si JOIN kept c ON c.super = sj
+UNION ALL SELECT 'super', pos, CAST(super AS VARCHAR), CAST(size AS DOUBLE) FROM kept
+UNION ALL SELECT 'centroid', pos, 'x0', round(x0, 6) FROM cen UNION ALL SELECT 'centroid', pos, 'x1', round(x1, 6) FROM cen
+UNION ALL SELECT 'count', pos, gene, CAST(count(*) AS DOUBLE) FROM hub_counts JOIN member ON hub = node_id JOIN kept USING (super) WHERE n >= 2 GROUP BY ALL""", ("GR25", "AGG26", "AGG27", "AGG28", "AGG29", "GR8"))
+def final_coarse_flow(spark, folder):
+    from loomgraph.operators.coarse import coarse_flow
+
+    p, g = _kgraph(spark, folder)
+    labels = p.select("node_id", F.when(F.col("node_id") % 11 == 0, -1).otherwise(F.col("label") * 40 + F.col("node_id") % 37).cast("long").alias("label"))
+    links = g.where((F.col("w") > 0.9) & (F.abs(F.col("i") - F.col("j")) % 2 == 0))
+    counts = T.hub_counts(spark, folder).withColumnRenamed("hub", "node_id")
+    flow = coarse_flow(labels, links, G.row_normalise(g).select("i", "j", "w"), p.select("node_id", *XY), XY, counts, 2)
+    text, value = F.col("j").cast("string").alias("j"), F.round("w", 6).alias("w")
+    out = flow.links.select(F.lit("link").alias("part"), "i", text, value)
+    out = out.unionByName(flow.transport.select(F.lit("transport").alias("part"), "i", text, value))
+    out = out.unionByName(flow.index.select(F.lit("super").alias("part"), "i", F.col("super").cast("string").alias("j"), F.col("size").cast("double").alias("w")))
+    for x in XY:
+        out = out.unionByName(flow.centroids.select(F.lit("centroid").alias("part"), "i", F.lit(x).alias("j"), F.round(x, 6).alias("w")))
+    return out.unionByName(flow.counts.select(F.lit("count").alias("part"), "i", F.col("gene").alias("j"), F.col("n").cast("double").alias("w")))
+
+
+@query("fallback_distances", f"""WITH RECURSIVE {GEO}, sp AS (SELECT i, j FROM kg WHERE w > 0.9), both_ends AS (SELECT i AS a, j AS b FROM kg UNION SELECT node_id, node_id FROM points),
+prop(it, node, comp) AS (SELECT 0, a, a FROM both_ends WHERE a = b UNION ALL
+  SELECT p.it + 1, s.a, min(p.comp) FROM prop p JOIN both_ends s ON s.b = p.node WHERE p.it < 60 GROUP BY p.it, s.a),
+comp AS (SELECT node, comp FROM prop WHERE it = 60), have AS (SELECT i, count(*) AS have FROM sp GROUP BY 1),
+c AS (SELECT node_id AS i, nbr AS j, have, row_number() OVER (PARTITION BY node_id ORDER BY rank) AS p FROM near LEFT JOIN have ON have.i = node_id
+  JOIN comp a ON a.node = node_id JOIN comp b ON b.node = nbr AND a.comp = b.comp WHERE coalesce(have, 0) < 3 AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.i = node_id AND sp.j = nbr)),
+added AS (SELECT i, j FROM c WHERE p <= 3 - coalesce(have, 0))
+SELECT i, j, 25.0::DOUBLE * count(*) AS d FROM (SELECT i, j FROM added UNION ALL SELECT j, i FROM added) GROUP BY ALL""", ("GR18",))
+def fallback_distances(spark, folder):
+    p, g = _kgraph(spark, folder)
+    comp = C.components(g, "i", "j", p)
+    return G.fallback_distances(g.where("w > 0.9"), N.knn(p, 5, XY), 3, 25.0, comp)
+
+
 @query("node_rmsd", f"""WITH {GEO}, e AS (SELECT kg.*, (a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 AS d2 FROM kg JOIN points a ON a.node_id = i JOIN points b ON b.node_id = j)
 SELECT i, round(sum(w), 6) AS weighted_degree, count(*) AS degree, round(sqrt(sum(w * d2) / sum(w)), 6) AS rmsd FROM e GROUP BY 1""", ("AGG38",))
 def node_rmsd(spark, folder):
@@ -367,4 +413,20 @@ def spanning_forest(spark, folder):
 def density_clusters(spark, folder):
     from loomgraph.operators import density as D
 
-    return D.cluster_points(T.points(spark, folder, 2), XY, 20, 5, levels=4).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return D.cluster_points(T.points(spark, folder, 2), XY, 20, 5).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("transport_clusters", None, ("GR16",))
+def transport_clusters(spark, folder):
+    from loomgraph.operators import density as D
+
+    p, g = _kgraph(spark, folder)
+    return D.cluster_transport(g, p.select("node_id"), 20, 5)
+
+
+@query("segmented_points", None, ("GR10", "GR15", "GR23"))
+def segmented_points(spark, folder):
+    from loomgraph.operators import density as D
+
+    p, g = _kgraph(spark, folder)
+    return D.segment(p, XY, g, "density", 20, 5)

@@ -259,6 +259,6 @@ def test_density_clusters_of_two_blobs(spark):
             total += r.d
     assert abs(total - sum(r.d for r in rows)) < 1e-9
     tight = D.spanning_forest(D.mutual_reachability(df, ["x", "y"], 6))
-    labels = {r.node_id: r.label for r in D.density_clusters(tight, df.select("node_id"), 20, 6).collect()}
+    labels = {r.node_id: r.label for r in D.density_clusters(tight, df.select("node_id"), 20).collect()}
     groups = [{labels[i] for i in range(0, 40)} - {-1}, {labels[i] for i in range(40, 80)} - {-1}]
     assert all(len(g) == 1 for g in groups) and groups[0] != groups[1]
