@@ -12,6 +12,7 @@ from loomgraph.operators import knn as N
 from loomgraph.operators import linear as L
 from loomgraph.operators import stats as S
 from loomgraph.plans.queries_graph import XY, _kgraph
+from loomgraph.operators.spectrum import leading_spectrum
 from loomgraph.sources import tables as T
 
 
@@ -30,7 +31,7 @@ def orthonormal_columns(spark, folder):
 @query("leading_eigenvectors", None, ("LA1", "LA2", "LA5", "GR24"))
 def leading_eigenvectors(spark, folder):
     _, g = _kgraph(spark, folder)
-    x, values = L.leading_vectors([g], 3, rounds=4)
+    x, values, _ = leading_spectrum(g, 6)
     return L.gap_scale(x, values)
 
 
