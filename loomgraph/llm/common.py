@@ -33,6 +33,11 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``docs`` with every column but the ``used`` ones under a name no operator takes; ``toDF(*docs.columns)`` turns it back."""
+    return docs.toDF(*[c if c in used else f"_extra_{i}_" for i, c in enumerate(docs.columns)])
+
+
 def fold(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import held_out
+from loomgraph.llm.common import held_out, set_aside
 from loomgraph.llm.textcodes import Block, blocks, sums
 
 #: Most labelled documents the field is fitted on, and the score from which a document is accepted.
@@ -330,5 +330,11 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows the field rejects; all columns stay."""
-    return scored(docs, train(docs, labels)).where(F.col("quality_score") >= ACCEPT).select(*docs.columns)
+    """``docs`` without the rows the field rejects; all columns stay, whatever their names.
+
+    Null and empty texts are one empty line and are scored like any other; an
+    empty table stays empty; of rows that repeat an id each is judged by its text.
+    """
+    plain = set_aside(docs)
+    good = scored(plain, train(docs, labels)).where(F.col("quality_score") >= ACCEPT)
+    return good.select(*plain.columns).toDF(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import keep
+from loomgraph.llm.common import keep, set_aside
 from loomgraph.llm.textcodes import mix
 
 LEAST, SHORTEST = 10, 1
@@ -334,6 +334,16 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, shortest: int = SHORTEST, f
     return drop_by_join(docs, counts, least, shortest)
 
 
+def without_shared_lines(docs: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
+    """``docs`` with ``text`` rewritten and no column added; other columns may have any name.
+
+    A null or empty text is one empty line and stays as it is; an empty table
+    stays empty.
+    """
+    plain = set_aside(docs)
+    return dedup_lines(plain, least, shortest).select(*plain.columns).toDF(*docs.columns)
+
+
 def line_report(docs: DataFrame) -> DataFrame:
     """The contract's row for every document."""
     out = dedup_lines(docs.select("doc_id", "text"))

@@ -9,9 +9,10 @@ the tiles' lists are merged by a window over the query.
 
 Defined cases: vectors that are null or hold a null or non-finite component
 take no part; vectors of other lengths are read as sparse rows, absent terms
-being zero; a query never meets the row it is; with fewer than k candidates all
-are returned; ties go to the smaller id; of repeated rows of one id the
-smallest vector takes part; null ids take no part; an empty table gives no row.
+being zero; a query never meets rows of its own id; with fewer than k
+candidates all are returned; ties go to the smaller id; every row that repeats
+an id is a candidate, and query rows of one id share one list of k; null ids
+take no part; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -39,13 +40,13 @@ def weights(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     ok = F.col(vec_id).isNotNull() & F.col("w").isNotNull() & F.forall("w", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.withColumn("w", w).where(ok)
     ints = F.transform("w", lambda x: F.floor(x * SCALE).cast("bigint"))
-    return rows.select(F.col(vec_id).cast("bigint").alias("id"), ints.alias("w")).groupBy("id").agg(F.min("w").alias("w"))
+    return rows.select(F.col(vec_id).cast("bigint").alias("id"), ints.alias("w"))
 
 
 def _blocks(rows: DataFrame, name: str, size: int, count: int) -> DataFrame:
-    """(name, ids, values, width): rows packed by a hash of their id."""
+    """(name, ids, values, width): rows packed by a hash of their id and place, so that a repeated id fills no block alone."""
     blocks = max(1, -(-count // size))
-    keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(name), "id", "w")
+    keyed = rows.select(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias(name), "id", "w")
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         ids = t["id"].to_numpy()

@@ -77,3 +77,17 @@ def test_tricky_rows(tricky, empty):
     assert L.line_report(empty).count() == 0
     kept = L.dedup_lines(tricky, 2, 1, 0)
     assert kept.columns == [*tricky.columns, "n_lines", "n_dropped"] and kept.count() == tricky.count()
+
+
+def test_columns_with_the_operators_names_survive(spark, no_labels):
+    from loomgraph.llm import linecrf
+
+    many = [(i, f"shared line\nown line {i}", 7, 8, 9, 0.5, "r") for i in range(12)] + [(99, None, 7, 8, 9, 0.5, "r")]
+    docs = spark.createDataFrame(many, "doc_id bigint, text string, n_lines bigint, n_dropped int, n_good_lines int, quality_score double, _row string")
+    out = L.without_shared_lines(docs)
+    assert out.columns == docs.columns and {r["doc_id"]: r["text"] for r in out.collect()} == {**{i: f"own line {i}" for i in range(12)}, 99: None}
+    assert {tuple(r)[2:] for r in out.collect()} == {(7, 8, 9, 0.5, "r")}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    kept = linecrf.accepted(docs, labels)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} <= {(7, 8, 9, 0.5, "r")}
+    assert L.without_shared_lines(docs.limit(0)).count() == 0

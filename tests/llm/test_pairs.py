@@ -95,6 +95,18 @@ def brute_top(rows, every, k):
     return sorted(out)
 
 
+def test_top_k_takes_every_row_of_a_repeated_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (20, [0.0, 1.0]), (20, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    scores = {}
+    for q, a in rows:
+        for c, b in rows:
+            if q % 20 == 0 and q != c:
+                scores.setdefault(q, []).append((-int(64 * a[0]) * int(64 * b[0]) - int(64 * a[1]) * int(64 * b[1]), c))
+    want = sorted((q, r + 1, c, -s) for q, found in scores.items() for r, (s, c) in enumerate(sorted(found)[:4]))
+    assert sorted(tuple(r) for r in topk.top_k(df, "vec_id", "embedding", 20, 4).collect()) == want
+
+
 def test_top_k_matches_brute_force_with_ties_and_gaps(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 60)
     monkeypatch.setattr(topk, "QUERIES", 5)
