@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import keep, table
 from loomgraph.llm.decontam import without_leaks
 from loomgraph.llm.linecrf import accepted
-from loomgraph.llm.linededup import dedup_lines
+from loomgraph.llm.linededup import without_shared_lines
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.ngramjoin import join_documents
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold go; ``n_chars``, where there, follows the text."""
-    out = dedup_lines(docs).select(*docs.columns)
+    out = without_shared_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
