@@ -206,35 +206,42 @@ def test_elias_fano_round_trip(n, top):
         assert (a >= 0) == (x in held) and (a < 0 or v[a] == x)
 
 
-def brute_scores(rows, mass=ngramlm.MASS):
+def brute_scores(rows, order, mass=ngramlm.MASS):
     low = {c: c + 32 for c in range(65, 91)}
     word = re.compile(r"[^\x20\x09-\x0D]+")
     tok = [(i, [*word.findall((t or "").translate(low)), "\0E"], i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for i, t in rows]
-    c, c1, c2 = Counter(), Counter(), Counter()
+    c, c1, c2, c3 = Counter(), Counter(), Counter(), Counter()
     for _, t, out in tok:
         if not out:
             c.update(t)
-            for a, b in zip(["\0S", *t], t):
-                c1[a] += 1
-                c2[a, b] += 1
+            s = ["\0S", *t]
+            c1.update(s[:-1])
+            c2.update(zip(s, s[1:]))
+            c3.update(zip(s, s[1:], s[2:]))
     n, v = sum(c.values()), len(c)
     one = lambda w: math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1)))
+    two = lambda a, b: math.log10(c2[a, b] / (c1[a] + mass)) if c2[a, b] else math.log10(mass / (c1[a] + mass)) + one(b)
+    three = lambda u, a, b: math.log10((c3[u, a, b] or mass) / (c2[u, a] + mass)) + (0 if c3[u, a, b] else two(a, b))
     res = []
     for i, t, out in tok:
-        s = sum(math.log10(c2[a, b] / (c1[a] + mass)) if c2[a, b] else math.log10(mass / (c1[a] + mass)) + one(b) for a, b in zip(["\0S", *t], t))
-        res.append((i, out, len(t), sum(c[w] > 0 for w in t), n, sum(map(one, t)), s))
+        s = ["\0S", *t]
+        score = two(*s[:2]) + sum(three(*x) if order == 3 else two(*x[1:]) for x in zip(s, s[1:], s[2:]))
+        res.append((i, out, len(t), sum(c[w] > 0 for w in t), n, sum(map(one, t)), score))
     return res
 
 
-@pytest.mark.parametrize("shard", [40, ngramlm.SHARD])
-def test_language_model_matches_brute_force(spark, shard):
+@pytest.mark.parametrize("shard,order", [(40, 3), (ngramlm.SHARD, 3), (40, 2)])
+def test_language_model_matches_brute_force(spark, shard, order):
     rng = np.random.default_rng(9)
     vocab = [f"w{i}" for i in range(60)] + ["The", "É"]
     weight = 1 / np.arange(1, len(vocab) + 1)
-    rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 40), p=weight / weight.sum()))) for i in range(90)] + [(90, None), (91, "x" * 50_000), (92, "new words only here"), (92, "new words only here"), (None, "the w1")]
+    rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 40), p=weight / weight.sum()))) for i in range(90)]
+    rows += [(90, None), (91, "x" * 50_000), (92, "new words only here"), (92, "new words only here"), (None, "the w1")]
+    rows += [(200 + i, "one passage that many documents share w1 w2 w1") for i in range(40)]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id bigint, text string, score double").repartition(3)
-    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, not r["train"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in ngramlm.score_texts(df, ~held_out("doc_id", 5, 1), shard).collect()))
-    want = sorted((i if i is not None else -1, *r) for i, *r in brute_scores(rows))
+    scored = ngramlm.score_texts(df, ~held_out("doc_id", 5, 1), shard, order).collect()
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, not r["train"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in scored))
+    want = sorted((i if i is not None else -1, *r) for i, *r in brute_scores(rows, order))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-9)
