@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ from loomgraph.llm.textcodes import blocks, mix, sums
 MASS = 2.0
 ORDER = 3
 #: Tokens of a shard on average, tokens packed at once, documents packed at once.
-SHARD, PACK, PACK_DOCS = 1_000_000, 1_500_000, 1 << 14
+SHARD, PACK, PACK_DOCS = 800_000, 1_200_000, 1 << 14
 #: Words, pairs and triples (each) that are dealt over all shards, at most.
 HOT = 1 << 14
 TASK_SUMMARY = 1 << 12
@@ -82,6 +83,17 @@ def _unpack6(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Unsigned numbers, byte by byte of their places, compressed: most are small, so their high bytes are alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pair_id(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word))
 
@@ -224,18 +236,21 @@ def _packed(rows: DataFrame, hot: Hot, shards: int) -> DataFrame:
             a, b = edge[s], edge[s + 1]
             start = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1]])
             both = word[a:b] if len(mine.keys) < 3 else np.concatenate([word[a:b], past[a:b]])
-            vocab, index = np.unique(both, return_inverse=True)
-            index = index.astype(np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
+            vocab, index, times = np.unique(both, return_inverse=True, return_counts=True)
+            place = np.argsort(-times, kind="stable")  # frequent words get small numbers
+            number = np.empty(len(vocab), np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
+            number[place] = np.arange(len(vocab))
+            vocab, index = vocab[place], number[index]
             add(
                 shard=s,
                 ref=ref,
                 train=flags,
                 context=_pack6(context[a:b][start]),
-                runs=np.diff(np.r_[start, b - a]).astype(np.uint32).tobytes(),
-                doc=doc[a:b].astype(np.uint16).tobytes(),
+                runs=_squeeze(np.diff(np.r_[start, b - a]).astype(np.uint32)),
+                doc=_squeeze(doc[a:b].astype(np.uint16)),
                 vocab=_pack6(vocab),
-                word=index[: b - a].tobytes(),
-                past=index[b - a :].tobytes(),
+                word=_squeeze(index[: b - a]),
+                past=_squeeze(index[b - a :]),
             )
         known = np.array([x is not None for x in doc_id])
         add(
@@ -305,13 +320,13 @@ class Tokens:
         self.ref = np.array([r["ref"] for r in rows], np.int64)
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
         for i, r in enumerate(rows):
-            doc = np.frombuffer(r["doc"], np.uint16)
+            doc = _unsqueeze(r["doc"], np.uint16)
             own, contexts = (np.searchsorted(self.vocab, x).astype(np.uint32) for x in held[2 * i : 2 * i + 2])
             kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
             flags = np.unpackbits(np.frombuffer(r["train"], np.uint8)).astype(bool)
-            parts[0].append(np.repeat(contexts, np.frombuffer(r["runs"], np.uint32)))
-            parts[1].append(own[np.frombuffer(r["word"], kind)])
-            parts[2].append(own[np.frombuffer(r["past"], kind)] if order > 2 else np.zeros(len(doc), np.uint32))
+            parts[0].append(np.repeat(contexts, _unsqueeze(r["runs"], np.uint32)))
+            parts[1].append(own[_unsqueeze(r["word"], kind)])
+            parts[2].append(own[_unsqueeze(r["past"], kind)] if order > 2 else np.zeros(len(doc), np.uint32))
             parts[3].append((i << 14) + doc.astype(np.int64))
             parts[4].append(flags[doc])
         context, word, past, text, train = (np.concatenate(p) for p in parts)
@@ -331,7 +346,7 @@ def _new(*keys: np.ndarray) -> np.ndarray:
 def score_shard(t: Tokens, hot: Hot, mass: float = MASS, order: int = ORDER) -> list[pa.Table]:
     """Counts, trie and scores of all tokens of one shard."""
     new_context, new_pair = _new(t.context), _new(t.context, t.word)
-    row_at, pair_at = np.cumsum(new_context) - 1, np.cumsum(new_pair) - 1
+    row_at, pair_at = (np.cumsum(x, dtype=np.int32) - 1 for x in (new_context, new_pair))
     c_context = t.vocab[t.context[new_context]]
     u_word, u_row = t.vocab[t.word[new_pair]], row_at[new_pair]
     u_context = c_context[u_row]
@@ -348,7 +363,7 @@ def score_shard(t: Tokens, hot: Hot, mass: float = MASS, order: int = ORDER) ->
     deep = {}
     if order > 2:
         new_triple = _new(t.context, t.word, t.past)
-        triple_at = np.cumsum(new_triple) - 1
+        triple_at = np.cumsum(new_triple, dtype=np.int32) - 1
         t_past, t_pair = t.vocab[t.past[new_triple]], pair_at[new_triple]
         n_triple = np.bincount(triple_at, weights=t.train, minlength=len(t_past)).astype(np.int64)
         for kind, where, hit in hot.levels(t_past, u_context[t_pair], u_word[t_pair]):
@@ -427,7 +442,7 @@ def score_shard(t: Tokens, hot: Hot, mass: float = MASS, order: int = ORDER) ->
     out.append(_rows(1, int(own.sum()), w=c_context[own].view(np.int64), n=n_context[own]))
     lost = np.flatnonzero((~hit & ~direct)[pair_at])
     at = t.text[lost]
-    out.append(_rows(2, len(lost), ref=t.ref[at >> 14] + (at & ((1 << 14) - 1)), w=u_word[pair_at[lost]].view(np.int64)))
+    out.append(_rows(2, len(lost), ref=t.ref[at >> 14] + (at & ((1 << 14) - 1)).astype(np.int64), w=u_word[pair_at[lost]].view(np.int64)))
     return out
 
 
