@@ -42,6 +42,11 @@ def base4_encode(n: Column | str, width: int) -> Column:
     return F.when(n.isNull() | fits, F.translate(numeral, "0123", BASES)).otherwise(wrong.cast("string"))
 
 
+def base4_digits(most: int) -> int:
+    """Digits of the numeral of ``most``."""
+    return max(1, (most.bit_length() + 1) // 2)
+
+
 def base4_decode(s: Column | str) -> Column:
     """Inverse of the numeral; -1 for anything but A, C, G and T."""
     s = _c(s)

@@ -15,6 +15,7 @@ from loomgraph.sources.genome import parse_gtf, parse_sam
 # ---------------------------------------------------------------- text formats
 def _sam_lines(spark, folder):
     li = T.table(spark, folder, "lineitem")
+    width = T.digits(spark, folder, "l_partkey")[0]
     q, ln, b = F.col("l_quantity").cast("long"), F.col("l_linenumber"), F.col("l_partkey") % 30 + 1
     cigar = F.format_string("%dM%dI%dM%dD%dM", q, ln, b, ln, q)
     md = F.format_string("%dA%d^ACGT%dCT%d", q, b, ln, b)
@@ -27,7 +28,7 @@ def _sam_lines(spark, folder):
         F.lit("255"),
         cigar,
         F.lit("*\t0\t0"),
-        F.concat(F.repeat(F.lit("A"), q.cast("int") - F.lit(26)), S.base4_encode("l_partkey", 8)),
+        F.concat(F.repeat(F.lit("A"), q.cast("int") - F.lit(26)), S.base4_encode("l_partkey", width)),
         F.lit("*"),
         F.concat(F.lit("nM:i:"), (ln * 9).cast("string")),
         F.concat(F.lit("AS:i:"), q.cast("string")),

@@ -31,7 +31,7 @@ BASE = f"{T.READS}, {COUNTS}, {PAIRS}, {ASSOC}"
 
 
 def _counts(spark, folder):
-    return P.pair_counts(T.reads(spark, folder).select("uei", "umi0", "umi1", "for_index", "rev_index"))
+    return P.pair_counts(T.read_rows(spark, folder).select("uei", "umi0", "umi1", "for_index", "rev_index"))
 
 
 def _assoc(spark, folder):
@@ -159,7 +159,7 @@ def either_endpoint_labelled(spark, folder):
   SELECT 'umi1', umi1, count(*) FROM reads GROUP BY ALL UNION ALL SELECT 'uei', uei, count(*) FROM reads GROUP BY ALL)
 SELECT kind, count(*) FILTER (n = 1) AS once, count(*) FILTER (n = 2) AS twice, count(*) FILTER (n NOT IN (1, 2)) AS more FROM t GROUP BY kind""", ("AGG7", "AGG8"))
 def read_abundance_hist(spark, folder):
-    r = T.reads(spark, folder)
+    r = T.read_rows(spark, folder)
     kinds = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("id")) for c in ("umi0", "umi1", "uei")]))
     totals = r.select(kinds).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"))
     return totals.groupBy("kind").agg(

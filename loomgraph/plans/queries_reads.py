@@ -67,8 +67,16 @@ def low_complexity_filter(spark, folder):
 
 
 # Forms on synthetic mates: read1 = rev. complement of UMI0 + UEI, read2 = UMI1 + UEI.
-FOR_FORMS = [parse_form(f) for f in ("U_NNNNNNNT_8:0|U_AANNNNNNNN_8:18|A_18:", "U_NNNNNNNN_0:8|U_ANNNNNWSNN_8:18|A_18:", "U_NNNNNNNG_8:0|A_8:")]
-REV_FORMS = [parse_form(f) for f in ("U_ANNNNNNN_0:8|A_8:", "U_NNNNNNNN_8:0|A_8:")]
+def _forms(umi0, umi1, uei):
+    """Forward and reverse forms for barcodes of these lengths; fixed letters keep their place from the nearer end."""
+    end = umi0 + uei
+    forward = (
+        f"U_{'N' * (umi0 - 1)}T_{umi0}:0|U_AA{'N' * (uei - 2)}_{umi0}:{end}|A_{end}:",
+        f"U_{'N' * umi0}_0:{umi0}|U_A{'N' * (uei - 5)}WSNN_{umi0}:{end}|A_{end}:",
+        f"U_{'N' * (umi0 - 1)}G_{umi0}:0|A_{umi0}:",
+    )
+    reverse = (f"U_A{'N' * (umi1 - 1)}_0:{umi1}|A_{umi1}:", f"U_{'N' * umi1}_{umi1}:0|A_{umi1}:")
+    return [parse_form(f) for f in forward], [parse_form(f) for f in reverse]
 
 
 def _mates(spark, folder):
@@ -90,7 +98,7 @@ CLASSES = f"""classed AS (SELECT *,
 
 
 def _parsed(spark, folder):
-    return R.parse_reads(_mates(spark, folder), FOR_FORMS, REV_FORMS)
+    return R.parse_reads(_mates(spark, folder), *_forms(*T.digits(spark, folder, "l_suppkey", "l_partkey", "l_orderkey")))
 
 
 @query("seqform_classify", f"""WITH {T.READS}, {MATES}, {CLASSES}
@@ -189,17 +197,21 @@ def _uniq(spark, folder):
     return B.unique_sequences(_stack(spark, folder, "umi1_seq"))
 
 
+def _length(spark, folder):
+    return T.digits(spark, folder, "l_partkey")[0]
+
+
 @query("mismatch_groups", f"""WITH {T.READS}, {UNIQ}, {MEMBERS}
 SELECT pos, rest, CAST(eq_grp AS BIGINT) AS eq_grp, seq_idx, n_reads, CAST(cumul_reads AS BIGINT) AS cumul_reads FROM below""", ("GR1", "WIN1", "SET2"))
 def mismatch_groups(spark, folder):
-    u = _uniq(spark, folder)
-    m = B.number_groups(u, B.mismatch_members(u, 8), 8)
+    u, length = _uniq(spark, folder), _length(spark, folder)
+    m = B.number_groups(u, B.mismatch_members(u, length), length)
     return B.reads_below(m, ["pos", "rest"]).select("pos", "rest", "eq_grp", "seq_idx", "n_reads", "cumul_reads")
 
 
 @query("rnd_scores", f"""WITH {T.READS}, {UNIQ}, {MEMBERS} SELECT seq_idx, rnd FROM scores""", ("AGG3", "JN2"))
 def rnd_scores(spark, folder):
-    return B.rnd_scores(B.mismatch_members(_uniq(spark, folder), 8), ["pos", "rest"])
+    return B.rnd_scores(B.mismatch_members(_uniq(spark, folder), _length(spark, folder)), ["pos", "rest"])
 
 
 @query("directional_clusters", f"""WITH RECURSIVE {T.READS}, {UNIQ}, {MEMBERS},
@@ -217,7 +229,7 @@ st(it, seq_idx, clust, crnd) AS (
   WHERE it < 40)
 SELECT u.seq_idx, coalesce(st.clust, u.seq_idx) AS clust FROM uniq u LEFT JOIN st ON st.seq_idx = u.seq_idx AND st.it = 40""", ("GR2", "WIN2", "WIN3"))
 def directional_clusters(spark, folder):
-    return B.directional_clusters(_uniq(spark, folder), 8)[0]
+    return B.directional_clusters(_uniq(spark, folder), _length(spark, folder))[0]
 
 
 COMPOSITION = """chars AS (SELECT p AS pos, substr(seq, p + 1, 1) AS base, n_reads FROM (SELECT *, unnest(range(0, 8)) AS p FROM uniq)),
@@ -241,7 +253,7 @@ def collision_probability(spark, folder):
 
 @query("subsample_depth", None, ("SRT4", "SRT5", "SRT11"))
 def subsample_depth(spark, folder):
-    r = T.reads(spark, folder).select("read_id", "for_index", "rev_index")
+    r = T.read_rows(spark, folder).select("read_id", "for_index", "rev_index")
     depths = R.subsample_depths(r.count())
     s = R.subsample(r, "read_id", depths[0], seed=7)
     return s.groupBy("for_index", "rev_index").agg(F.count(F.lit(1)).alias("n"))

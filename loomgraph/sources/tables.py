@@ -6,10 +6,10 @@ the same column names.  All of them run over the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.seq import base4_encode
+from loomgraph.functions.seq import base4_digits, base4_encode
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,8 +26,18 @@ def revcomp_sql(x: str) -> str:
 
 
 # ---------------------------------------------------------------- reads
-def reads(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed reads: one row per read with form indices and three barcodes."""
+# Digits of a barcode numeral; a table with larger keys gets as many as its largest key needs.
+DIGITS = {"l_suppkey": 8, "l_partkey": 8, "l_orderkey": 10}
+
+
+def digits(spark: SparkSession, folder: str, *keys: str) -> list[int]:
+    """The length of the numerals of each key column of ``lineitem``: one for all rows, whatever their keys."""
+    most = table(spark, folder, "lineitem").agg(*[F.max(k).alias(k) for k in keys]).first()
+    return [max(DIGITS[k], base4_digits(most[k] or 0)) for k in keys]
+
+
+def read_rows(spark: SparkSession, folder: str, *barcodes: Column) -> DataFrame:
+    """Parsed reads: one row per read with form indices and the given barcode columns."""
     li = table(spark, folder, "lineitem")
     # barcodes are written once per line, before the line becomes several reads
     lines = li.select(
@@ -38,14 +48,24 @@ def reads(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_partkey").alias("umi1"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("for_index"),
         F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("rev_index"),
-        base4_encode("l_suppkey", 8).alias("umi0_seq"),
-        base4_encode("l_partkey", 8).alias("umi1_seq"),
-        base4_encode("l_orderkey", 10).alias("uei_seq"),
+        *barcodes,
     )
     reads_of = lines.withColumn("rep", F.explode("reps")).drop("reps")
     return reads_of.withColumn("read_id", F.col("line_id") * 10 + F.col("rep"))
 
 
+def reads(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed reads with their three barcodes; a barcode has the same length in all rows."""
+    umi0, umi1, uei = digits(spark, folder, "l_suppkey", "l_partkey", "l_orderkey")
+    return read_rows(
+        spark,
+        folder,
+        base4_encode("l_suppkey", umi0).alias("umi0_seq"),
+        base4_encode("l_partkey", umi1).alias("umi1_seq"),
+        base4_encode("l_orderkey", uei).alias("uei_seq"),
+    )
+
+
 READS = f"""reads AS (
   SELECT *, line_id * 10 + rep AS read_id FROM (
     SELECT l_orderkey * 10 + l_linenumber AS line_id, unnest(range(1, l_linenumber + 1)) AS rep,
