@@ -106,13 +106,12 @@ class Model:
         out = np.zeros((n_texts, k))
         if not len(key) or not k:
             return out, total
-        log_p = self.log_p[bucket]
-        top = log_p.max(1, keepdims=True)
+        log_p = self.log_p.T[:, bucket]  # a row a language, so that every sum runs over contiguous numbers
+        top = log_p.max(0)
         p = np.exp(log_p - top)
         some, start = np.unique(doc, return_index=True)
-        row = np.searchsorted(some, doc)
-        alone = np.add.reduceat(log_p * count[:, None], start)
-        base = np.add.reduceat(top[:, 0] * count, start)
+        alone = np.add.reduceat(log_p * count, start, axis=1).T
+        base = np.add.reduceat(top * count, start)
         weight = count.astype(float)
         prior = np.exp(self.log_prior)
 
@@ -121,22 +120,31 @@ class Model:
             pi = mask * prior
             pi /= pi.sum(1, keepdims=True)
             fit = np.full(len(some), -np.inf)
-            live, at, p_at, w_at, first_at = np.arange(len(some)), row, p, weight, start
+            live, p_at, w_at, first_at, size = np.arange(len(some)), p, weight, start, np.diff(start, append=len(doc))
+            on, used = np.ones(len(some), bool), np.flatnonzero(mask.any(0))
             while True:
-                joint = p_at * pi[live][at]
-                each = joint.sum(1)
+                now_pi = pi[live]
+                each = np.repeat(now_pi[:, used[0]], size)
+                each *= p_at[used[0]]
+                for j in used[1:]:
+                    part = np.repeat(now_pi[:, j], size)
+                    part *= p_at[j]
+                    each += part
                 now = base[live] + np.add.reduceat(w_at * np.log(each), first_at)
-                moved = now - fit[live] > TOLERANCE
-                fit[live] = now
+                moved = on & (now - fit[live] > TOLERANCE)
+                fit[live[on]] = now[on]
                 if not moved.any():
                     return pi, fit
-                new = np.add.reduceat(joint * (w_at / each)[:, None], first_at) + 1e-9 * mask[live]
-                live = live[moved]
-                pi[live] = new[moved] / new[moved].sum(1, keepdims=True)
-                if not moved.all():
-                    stays = moved[at]
-                    at, p_at, w_at = (np.cumsum(moved) - 1)[at[stays]], p_at[stays], w_at[stays]
-                    first_at = np.searchsorted(at, np.arange(len(live)))
+                share = np.divide(w_at, each, out=each)
+                new = 1e-9 * mask[live]
+                for j in used:
+                    new[:, j] += now_pi[:, j] * np.add.reduceat(p_at[j] * share, first_at)
+                pi[live[moved]] = new[moved] / new[moved].sum(1, keepdims=True)
+                on = moved
+                if size[on].sum() < 0.75 * len(w_at):  # texts at rest are taken out when they are a quarter of the work
+                    stays = np.repeat(on, size)
+                    p_at, w_at, live, size = p_at[:, stays], w_at[stays], live[on], size[on]
+                    first_at, on = np.cumsum(size) - size, np.ones(len(live), bool)
 
         full, _ = em(np.ones((len(some), k)))
         rank = np.argsort(-(full + 1e-12 * prior), axis=1, kind="stable")

@@ -42,6 +42,7 @@ TASK_SUMMARY, SUMMARY = 1 << 16, 1 << 18
 HOT = 100_000
 #: Prefix rows sorted in one task.
 TASK_ROWS = 1 << 18
+BLOCK = 1 << 18  # bytes of text taken at a time
 #: Cells of a set at least; longer sets have a cell for about two members.
 CELLS = 256
 #: 64-bit words of the table that tells which sets are wanted (8 MB).
@@ -85,7 +86,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), BLOCK):
                 owner, g, n = shingles(b)
                 one, two = signatures(owner, g, n)
                 empty = n == 0
@@ -120,7 +121,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for b in blocks(batch.column(0)):
+            for b in blocks(batch.column(0), BLOCK):
                 owner, g, n = shingles(b)
                 node, _ = signatures(owner, g, n)
                 fresh = np.zeros(len(b), bool)
@@ -154,7 +155,7 @@ def _prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = shared.value
         for batch in batches:
-            for b in blocks(batch.column(0)):
+            for b in blocks(batch.column(0), BLOCK):
                 owner, g, n = shingles(b)
                 node, _ = signatures(owner, g, n)
                 _, one = np.unique(node, return_index=True)
@@ -259,7 +260,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(0)):
+            for b in blocks(batch.column(0), BLOCK):
                 owner, g, n = shingles(b)
                 node, _ = signatures(owner, g, n)
                 _, first = np.unique(node, return_index=True)
