@@ -142,13 +142,22 @@ def points_sql(dims: int = 2) -> str:
 
 # ---------------------------------------------------------------- hub counts
 def hub_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Hub by gene count matrix in long form."""
+    """Hub by gene count matrix in long form.
+
+    Lines meet their hub once: what follows per hub or per hub and gene needs no
+    further exchange.  Gene numbers become names behind it.
+    """
     li, o = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    lines = (
+        li.select("l_orderkey", (F.col("l_partkey") % 50).cast("int").alias("part"), "l_linenumber")
+        .join(o.select("o_orderkey", F.col("o_custkey").alias("hub")), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("hub", "part", "l_linenumber")
+    )
     return (
-        li.select("l_orderkey", "l_partkey", "l_linenumber")
-        .join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("hub"), F.concat(F.lit("g"), (F.col("l_partkey") % 50).cast("string")).alias("gene"))
+        lines.repartition("hub")
+        .groupBy("hub", "part")
         .agg(F.sum(F.col("l_linenumber").cast("long")).alias("n"))
+        .select("hub", F.concat(F.lit("g"), F.col("part").cast("string")).alias("gene"), "n")
     )
 
 
