@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.core.order import group_index
+from loomgraph.core.session import cut
 from loomgraph.core.skew import lookup
 from loomgraph.functions.seq import is_placeholder
 
@@ -153,14 +154,15 @@ def cluster_markers(counts: DataFrame, clusters: DataFrame, cell: str, gene: str
     """Cluster versus rest: CPM fold change and detection shares per gene.
 
     The rest is the total minus the cluster.  Cluster totals and gene totals
-    have one row each per cluster or gene.
+    have one row each per cluster or gene; they are made from the kept sums, so
+    the counts are read once for these and not once for each.
     """
     x = lookup(counts, clusters.select(cell, "cluster"), cell)
-    inside = x.groupBy("cluster", gene).agg(F.sum(n).alias("s_in"), F.count_if(F.col(n) > 0).alias("d_in"))
+    inside = cut(x.groupBy("cluster", gene).agg(F.sum(n).alias("s_in"), F.count_if(F.col(n) > 0).alias("d_in")))
     all_genes = inside.groupBy(gene).agg(F.sum("s_in").alias("s_all"), F.sum("d_in").alias("d_all"))
     lib = inside.groupBy("cluster").agg(F.sum("s_in").alias("lib_in"))
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c_in"))
-    head = size.join(lib, "cluster")
+    head = cut(size.join(lib, "cluster"))
     whole = head.agg(F.sum("lib_in").alias("lib_all"), F.sum("c_in").alias("c_all"))
     grid = lookup(inside, all_genes, gene)
     grid = lookup(grid, head, "cluster").join(F.broadcast(whole))
