@@ -11,6 +11,11 @@ members of an ensemble) are solved in the same rounds.
 rows, then units move along negative cycles of the graph of columns (an edge is
 the cheapest move of a row from one column to another) until none is left.
 Shortest distances in that graph are then prices that prove the optimum.
+
+Where rows outbid each other for more than ``AUCTION_ROUNDS`` rounds, ``settled``
+starts anew from the other side: every row takes its cheapest column, and rows
+leave overfull columns along cheapest moves while prices keep every row at a
+cheapest column.  Its steps grow with the levels of cost and not with the rows.
 """
 
 from __future__ import annotations
@@ -19,13 +24,28 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loomgraph.core.session import cut
 from loomgraph.operators.registration import lexicographic
 
+# Rounds after which a coarse auction is left for ``settled``.
+AUCTION_ROUNDS = 32
+# Problems x columns x columns that the driver may see; beyond, the auction goes on.
+MAX_PAIRS = 1 << 20
+# Kinds of rows (column, equally cheap columns) looked at for one move in a step, the commonest first.
+KINDS = 8
+# No way between two columns.
+FAR = np.int64(1 << 62)
+
+
+class StillBidding(RuntimeError):
+    """An auction that did not end within its rounds."""
+
 
 def auction(
     arcs: DataFrame, capacity: DataFrame, keys: Sequence[str] = (), step: int = 1, exact: bool = True, max_rounds: int = 1_000
@@ -75,7 +95,7 @@ def auction(
         held = held.drop("capacity")
         lost = cut(lost.unionByName(gone))
     else:
-        raise RuntimeError(f"rows still bid after {max_rounds} rounds")
+        raise StillBidding(f"rows still bid after {max_rounds} rounds")
     out = held.join(arcs.select(*keys, "a", "b", "unit_cost"), [*keys, "a", "b"])
     rest = all_rows.join(held, [*keys, "a"], "left_anti")
     return out.select(*keys, "a", "b", "unit_cost"), rest, rounds
@@ -164,6 +184,155 @@ def _rotated(held: DataFrame, edges: DataFrame, cycles: DataFrame, keys: list[st
     return held.join(to, [*keys, "a"], "left").select(*keys, "a", new.alias("b"))
 
 
+def _raised(reach: np.ndarray, excess: np.ndarray, spare: np.ndarray) -> np.ndarray | None:
+    """By how much each column's price may rise: until the first column with spare places is as cheap for a row of an overfull one.
+
+    ``reach`` holds the least extra cost of a move between columns.  None if no overfull column reaches a spare place.
+    """
+    dist = np.where(excess > 0, 0, FAR)
+    while True:
+        known = (dist[:, None] < FAR) & (reach < FAR)
+        new = np.minimum(dist, np.where(known, np.where(known, dist[:, None], 0) + np.where(known, reach, 0), FAR).min(axis=0))
+        if (new == dist).all():
+            break
+        dist = new
+    nearest = dist[spare > 0].min(initial=FAR)
+    return None if nearest == FAR else np.maximum(nearest - dist, 0)
+
+
+def _flow(kinds: list[tuple[int, tuple[int, ...], int]], excess: np.ndarray, spare: np.ndarray) -> dict[tuple, dict[int, int]]:
+    """Rows to move, by kind (column, columns open to it): from overfull columns to spare places, chain by chain.
+
+    ``excess`` and ``spare`` are brought up to date.
+    """
+    left, out = {(x, open_to): n for x, open_to, n in kinds}, {}
+    of: dict[int, list] = {}
+    for kind in left:
+        of.setdefault(kind[0], []).append(kind)
+    while True:
+        via: dict[int, tuple | None] = {int(x): None for x in np.flatnonzero(excess > 0)}
+        queue, end = list(via), None
+        for x in queue:
+            for kind in of.get(x, ()):
+                for y in kind[1] if left[kind] else ():
+                    if y not in via:
+                        via[y] = kind
+                        queue.append(y)
+                        end = y if end is None and spare[y] > 0 else end
+            if end is not None:
+                break
+        if end is None:
+            return out
+        chain, y = [], end
+        while via[y] is not None:
+            chain.append((via[y], y))
+            y = via[y][0]
+        n = min(int(excess[y]), int(spare[end]), *(left[kind] for kind, _ in chain))
+        excess[y] -= n
+        spare[end] -= n
+        for kind, to in chain:
+            left[kind] -= n
+            held = out.setdefault(kind, {})
+            held[to] = held.get(to, 0) + n
+
+
+def settled(arcs: DataFrame, cols: DataFrame, keys: Sequence[str] = (), max_steps: int = 10_000) -> Optimum:
+    """The optimum by prices that rise and rows that follow (primal-dual), without bids.
+
+    Every row is always at a column that is cheapest for it at the prices, so
+    the end is an optimum and the prices prove it.  A step takes the least extra
+    cost of a move between any two columns, raises prices until an overfull
+    column reaches a spare place at no extra cost, and moves rows along such
+    chains, as many as there are.  Rows and arcs stay distributed and are moved
+    by broadcast bounds on their numbers; the driver sees a number for a pair of
+    columns and at most ``KINDS`` kinds of rows for it.
+    """
+    keys = list(keys)
+    spark = arcs.sparkSession
+    places = cols.groupBy("b").agg(F.sum("capacity").alias("capacity")).orderBy("b").collect()
+    number = spark.createDataFrame([(r["b"], i) for i, r in enumerate(places)], "b long, ix int")
+    room, size = np.array([r["capacity"] for r in places], np.int64), len(places)
+    known = arcs.where("a is not null and unit_cost is not null").groupBy(*keys, "a", "b").agg(F.min("unit_cost").alias("cost"))
+    rows = known.join(F.broadcast(number), "b").groupBy(*keys, "a").agg(F.array_sort(F.collect_list(F.struct("ix", "cost"))).alias("offers"))
+    rows = cut(rows.withColumn("at", F.array_min(F.transform("offers", lambda s: F.struct(s["cost"], s["ix"])))["ix"]))
+    used: dict[tuple, np.ndarray] = {}
+    for r in rows.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n")).collect():
+        used.setdefault(tuple(r[k] for k in keys), np.zeros(size, np.int64))[r["at"]] = r["n"]
+    price = {p: np.zeros(size, np.int64) for p in used}
+    live = {p for p, n in used.items() if (n > room).any()}
+    key_fields = [arcs.schema[k] for k in keys]
+    paid = StructType([*key_fields, StructField("price", ArrayType(LongType()))])
+    kind_fields = [*key_fields, StructField("at", IntegerType()), StructField("open", ArrayType(IntegerType())), StructField("y", IntegerType()), StructField("start", LongType()), StructField("stop", LongType())]
+
+    def priced(some: set) -> DataFrame:
+        table = F.broadcast(spark.createDataFrame([(*p, price[p].tolist()) for p in some], paid))
+        x = rows.join(table, keys) if keys else rows.crossJoin(table)
+        full = F.transform("offers", lambda s: F.struct(s["ix"].alias("ix"), (s["cost"] + F.col("price")[s["ix"]]).alias("full")))
+        x = x.withColumn("full", full).withColumn("own", F.array_min(F.col("full")["full"]))
+        equal = F.filter("full", lambda s: (s["full"] == F.col("own")) & (s["ix"] != F.col("at")))
+        return x.withColumn("open", equal["ix"])
+
+    steps = 0
+    while live:
+        steps += 1
+        if steps > max_steps:
+            raise RuntimeError(f"no optimum after {max_steps} steps")
+        extra = priced(live).select(*keys, "at", "own", F.inline("full")).where("ix <> at").groupBy(*keys, "at", "ix").agg(F.min(F.col("full") - F.col("own")).alias("w"))
+        reach = {p: np.full((size, size), FAR) for p in live}
+        for r in extra.collect():
+            reach[tuple(r[k] for k in keys)][r["at"], r["ix"]] = r["w"]
+        for p in list(live):
+            rise = _raised(reach[p], used[p] - room, room - used[p])
+            if rise is None:
+                live.discard(p)
+            else:
+                price[p] += rise
+        if not live:
+            break
+        kinds = priced(live).where(F.size("open") > 0).groupBy(*keys, "at", "open").agg(F.count(F.lit(1)).alias("n"))
+        common = Window.partitionBy(*keys, "at", "y").orderBy(F.desc("n"), "open")
+        kinds = kinds.withColumn("y", F.explode("open")).withColumn("_r", F.row_number().over(common)).where(F.col("_r") <= KINDS).select(*keys, "at", "open", "n")
+        found: dict[tuple, set] = {p: set() for p in live}
+        for r in kinds.collect():
+            found[tuple(r[k] for k in keys)].add((r["at"], tuple(r["open"]), r["n"]))
+        moves = []
+        for p in list(live):
+            excess, spare = np.maximum(used[p] - room, 0), np.maximum(room - used[p], 0)
+            for (x, open_to), to in _flow(sorted(found[p]), excess, spare).items():
+                start = 0
+                for y, n in sorted(to.items()):
+                    moves.append((*p, x, list(open_to), y, start, start + n))
+                    used[p][x], used[p][y], start = used[p][x] - n, used[p][y] + n, start + n
+        table = F.broadcast(spark.createDataFrame(moves, StructType(kind_fields)))
+        now = priced(live)
+        # the rows of a kind move in order of their numbers: a bound on the number tells which
+        of_kind = [*keys, "at", "open"]
+        turn = F.row_number().over(Window.partitionBy(*of_kind).orderBy("a"))
+        movers = now.select(*of_kind, "a").join(table.select(*of_kind), of_kind, "left_semi").withColumn("turn", turn)
+        bound = movers.join(table, of_kind).where("turn > start and turn <= stop").groupBy(*of_kind, "y").agg(F.max("a").alias("last"))
+        bound = cut(bound.groupBy(*of_kind).agg(F.array_sort(F.collect_list(F.struct("last", "y"))).alias("to")))
+        to = F.get(F.filter("to", lambda s: s["last"] >= F.col("a")), F.lit(0))["y"]  # none beyond the last bound
+        gone = {p for p in live if not (used[p] > room).any()}
+        moved = now.join(F.broadcast(bound), of_kind, "left").select(*keys, "a", "offers", F.coalesce(to, F.col("at")).alias("at"))
+        if keys and len(live) < len(used):
+            still = rows.join(F.broadcast(spark.createDataFrame(list(live), StructType(key_fields))), keys, "left_anti")
+            moved = moved.unionByName(still.select(*keys, "a", "offers", "at"))
+        rows = cut(moved)
+        live -= gone
+    full = StructType([*key_fields, StructField("at", IntegerType()), StructField("b", LongType()), StructField("price", LongType()), StructField("room", LongType())])
+    table = spark.createDataFrame([(*p, i, r["b"], int(price[p][i]), int(room[i])) for p in used for i, r in enumerate(places)], full)
+    held = rows.select(*keys, "a", "at").join(F.broadcast(table), [*keys, "at"])
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "at").orderBy("a"))).where("place <= room")
+    held = cut(held.select(*keys, "a", "b"))
+    rest = cut(arcs.select(*keys, "a").distinct().join(held, [*keys, "a"], "left_anti"))
+    out = held.join(arcs, [*keys, "a", "b"]).select(*keys, "a", "b", "unit_cost")
+    return Optimum(out, cut(table.select(*keys, "b", "price")), rest, steps)
+
+
+def may_settle(cols: DataFrame, problems: int) -> bool:
+    return problems * cols.count() ** 2 <= MAX_PAIRS
+
+
 def optimal(arcs: DataFrame, capacity: DataFrame, keys: Sequence[str] = (), max_steps: int = 10_000) -> Optimum:
     """Assignment of least total cost, with prices that prove it.
 
@@ -178,7 +347,13 @@ def optimal(arcs: DataFrame, capacity: DataFrame, keys: Sequence[str] = (), max_
     cols = cut(capacity.where("capacity > 0").select(F.col("b").cast("long").alias("b"), F.col("capacity").cast("long").alias("capacity")))
     arcs = cut(arcs.join(cols.select("b"), "b", "left_semi"))
     low, high = arcs.agg(F.min("unit_cost"), F.max("unit_cost")).first()
-    got, rest, _ = auction(arcs, cols, keys, step=max(1, ((high or 0) - (low or 0)) // 16), exact=False)
+    brief = may_settle(cols, arcs.select(*keys).distinct().count() if keys else 1)
+    try:
+        got, rest, _ = auction(arcs, cols, keys, step=max(1, ((high or 0) - (low or 0)) // 16), exact=False, max_rounds=AUCTION_ROUNDS if brief else 1_000)
+    except StillBidding:
+        if not brief:
+            raise
+        return settled(arcs, cols, keys, max_steps)
     held, rest = cut(got.select(*keys, "a", "b")), cut(rest)
     nodes = cols.count() + 1
     node = cols.select(F.col("b").alias("node")).unionByName(cols.sparkSession.range(1).select(F.lit(POOL).cast("long").alias("node")))

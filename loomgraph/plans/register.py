@@ -44,10 +44,22 @@ def _place(assigned: DataFrame, slices: DataFrame, coords: Sequence[str]) -> Dat
 
 
 def solve(arcs: DataFrame, caps: DataFrame, resolution: float = 100.0, step: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Auction on costs rounded to ``resolution`` levels; coarser levels need fewer rounds."""
+    """Auction on costs rounded to ``resolution`` levels; coarser levels need fewer rounds.
+
+    An auction that goes on beyond its rounds is left for the exact optimum of these levels.
+    """
     top = arcs.agg(F.max("cost")).first()[0] or 1.0
     units = arcs.select("a", "b", F.round(F.col("cost") / float(top) * resolution).cast("long").alias("unit_cost"))
-    got, rest, _ = X.auction(units, caps, step=step, exact=False)
+    brief = X.may_settle(caps, 1)
+    try:
+        got, rest, _ = X.auction(units, caps, step=step, exact=False, max_rounds=X.AUCTION_ROUNDS if brief else 1_000)
+    except X.StillBidding:
+        if not brief:
+            raise
+        units = cut(units)
+        cols = cut(caps.where("capacity > 0").select("b", "capacity"))
+        found = X.settled(cut(units.join(cols.select("b"), "b", "left_semi")), cols)
+        return found.assigned, found.rest
     return got, rest
 
 
