@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from loomgraph.core.order import dense_index
 from loomgraph.core.session import cut
 from loomgraph.core.skew import hot_keys, lookup
 
+BLOCK = 1 << 20  # pairs that one task may hold; rounds over more stay distributed
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step: neighbours of ``u`` are re-attached to u's smallest one.
@@ -31,22 +36,48 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of the pairs (u, v) but the smallest of its component, attached to that one."""
+    held = list(batches)
+    if not held:
+        return
+    pairs = pa.Table.from_batches(held)
+    names, code = np.unique(np.concatenate([pairs.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    u, v = code[: len(pairs)], code[len(pairs) :]
+    root = np.arange(len(names))
+    while len(u):
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    schema = pairs.schema
+    yield pa.RecordBatch.from_arrays([pa.array(names[moved], schema.field("u").type), pa.array(names[root[moved]], schema.field("v").type)], ["u", "v"])
+
+
+def components(
+    edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, max_rounds: int = 60, block: int = BLOCK
+) -> DataFrame:
     """(node_id, comp): the component is named by its smallest node.
 
     Alternating large and small star steps (Kiveris et al., "Connected
     Components in MapReduce and Beyond") need a number of rounds logarithmic in
-    the graph, whatever its diameter, and the edge set never grows.
+    the graph, whatever its diameter, and the edge set never grows.  As soon as
+    ``block`` pairs or fewer are left, one task settles them as the last round.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     pairs = cut(pairs)
-    mark = None
+    left, mark, settled = pairs.count(), None, False
     for _ in range(max_rounds):
+        if settled:
+            break
+        if left <= block:
+            pairs, settled = cut(pairs.coalesce(1).mapInArrow(_stars, pairs.schema)), True
+            continue
         pairs = cut(_star(_star(pairs, True), False))
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark is not None and tuple(now) == mark:
-            break
-        mark = tuple(now)
+        left, settled, mark = now[0], tuple(now) == mark, tuple(now)
     else:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     every = edges.select(F.col(src).alias("node_id")).unionByName(edges.select(F.col(dst).alias("node_id")))

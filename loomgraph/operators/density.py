@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,7 @@ from loomgraph.core.session import cut
 from loomgraph.core.skew import lookup
 from loomgraph.operators import graph as G
 from loomgraph.operators import knn as N
-from loomgraph.operators.components import components, curate_noise, relabel_contiguous
+from loomgraph.operators.components import BLOCK, components, curate_noise, relabel_contiguous
 from loomgraph.operators.hierarchy import stable_labels
 
 
@@ -35,19 +37,47 @@ def reachability_of(distances: DataFrame, min_samples: int) -> DataFrame:
     return x.select("i", "j", F.greatest("d", F.coalesce("core", "d"), F.coalesce("cj", "d")).alias("d"))
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _lightest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (i, j, d) that join parts (ci, cj), taken in order of (d, i, j)."""
+    held = list(batches)
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    i, j, ci, cj = (edges.column(c).to_numpy() for c in ("i", "j", "ci", "cj"))
+    known = edges.column("d").is_valid().to_numpy()  # as in Spark, a missing length comes first and NaN last
+    _, code = np.unique(np.concatenate([ci, cj]), return_inverse=True)
+    order = np.lexsort((j, i, edges.column("d").to_numpy(), known))
+    up, take = list(range(len(code))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for row, x, y in zip(order.tolist(), code[: len(i)][order].tolist(), code[len(i) :][order].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            take.append(row)
+    yield from edges.select(["i", "j", "d"]).take(pa.array(take, pa.int64())).to_batches()
+
+
+def spanning_forest(edges: DataFrame, max_rounds: int = 40, block: int = BLOCK) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds (ties: smaller endpoints).
 
     Each round every component picks its lightest outgoing edge with one
-    combinable minimum; the number of components at least halves.
+    combinable minimum; the number of components at least halves.  When
+    ``block`` edges or fewer still join components, one task orders them.
     """
-    live = cut(edges.select("i", "j", "d", F.col("i").alias("ci"), F.col("j").alias("cj")))
+    live = cut(edges.select("i", "j", "d", F.col("i").alias("ci"), F.col("j").alias("cj")).where("i <> j"))
     chosen = live.select("i", "j", "d").limit(0)
     for _ in range(max_rounds):
+        if live.count() <= block:
+            chosen = cut(chosen.unionByName(live.coalesce(1).mapInArrow(_lightest, chosen.schema)))
+            break
         ends = live.select(F.col("ci").alias("c"), "d", "i", "j").unionByName(live.select(F.col("cj").alias("c"), "d", "i", "j"))
         pick = cut(ends.groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("m")).select("m.i", "m.j", "m.d").distinct())
-        if not pick.limit(1).count():
-            break
         chosen = cut(chosen.unionByName(pick))
         joined = live.join(pick.select("i", "j"), ["i", "j"], "left_semi").select("ci", "cj")
         label = components(joined, "ci", "cj")

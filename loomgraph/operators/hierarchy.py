@@ -7,6 +7,8 @@ by length, then ends).  No task sees more than ``BLOCK`` rows at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,9 +90,33 @@ def _merge_range(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ref": refs, "d": rows["d"].to_numpy(), "a": out[:, 0], "b": out[:, 1], "n_a": out[:, 2], "n_b": out[:, 3]})
 
 
-def _jump(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(ref, ptr) with every pointer moved to the end of its chain; ends point to themselves or outside."""
+def _ends(links: pd.DataFrame) -> np.ndarray:
+    """Where the chain of every pointer ends."""
+    names, code = np.unique(np.concatenate([links["ref"].to_numpy(), links["ptr"].to_numpy()]), return_inverse=True)
+    to = np.arange(len(names))
+    to[code[: len(links)]] = code[len(links) :]
+    for _ in range(64):
+        if (to[to] == to).all():
+            return names[to[code[: len(links)]]]
+        to = to[to]
+    raise RuntimeError("pointers run in a circle")
+
+
+def _chased(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(batches)
+    if held:
+        links = pd.concat(held, ignore_index=True)
+        yield links.assign(ptr=_ends(links))
+
+
+def _jump(links: DataFrame, max_rounds: int = 64, block: int = BLOCK) -> DataFrame:
+    """(ref, ptr) with every pointer moved to the end of its chain; ends point to themselves or outside.
+
+    ``block`` pointers or fewer are chased in one task.
+    """
     links = cut(links)
+    if links.count() <= block:
+        return cut(links.coalesce(1).mapInPandas(_chased, links.schema))
     for _ in range(max_rounds):
         ahead = links.select(F.col("ref").alias("ptr"), F.col("ptr").alias("next"))
         step = lookup(links, ahead, "ptr", "left").select("ref", F.coalesce("next", "ptr").alias("ptr"), (F.col("next") != F.col("ptr")).alias("moved"))
