@@ -73,16 +73,6 @@ def tokens_of(ids: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndar
     return past, context, word, np.repeat(np.arange(n_texts), size)
 
 
-def _pack6(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack6(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _squeeze(x: np.ndarray) -> bytes:
     """Unsigned numbers, byte by byte of their places, compressed: most are small, so their high bytes are alike."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
@@ -94,6 +84,20 @@ def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _pack_rising(x: np.ndarray) -> bytes:
+    """48-bit ids in runs that rise: their differences, whose high bytes are mostly 0."""
+    step = np.diff(x, prepend=np.uint64(0)) & np.uint64((1 << 48) - 1)
+    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack_rising(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(6, -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, :6] = planes.T
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) & np.uint64((1 << 48) - 1)
+
+
 def _pair_id(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word))
 
@@ -237,7 +241,7 @@ def _packed(rows: DataFrame, hot: Hot, shards: int) -> DataFrame:
             start = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1]])
             both = word[a:b] if len(mine.keys) < 3 else np.concatenate([word[a:b], past[a:b]])
             vocab, index, times = np.unique(both, return_inverse=True, return_counts=True)
-            place = np.argsort(-times, kind="stable")  # frequent words get small numbers
+            place = np.argsort(-np.frexp(times)[1].astype(np.int8), kind="stable")  # frequent words get small numbers; ids rise among words about as frequent
             number = np.empty(len(vocab), np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
             number[place] = np.arange(len(vocab))
             vocab, index = vocab[place], number[index]
@@ -245,10 +249,10 @@ def _packed(rows: DataFrame, hot: Hot, shards: int) -> DataFrame:
                 shard=s,
                 ref=ref,
                 train=flags,
-                context=_pack6(context[a:b][start]),
+                context=_pack_rising(context[a:b][start]),
                 runs=_squeeze(np.diff(np.r_[start, b - a]).astype(np.uint32)),
                 doc=_squeeze(doc[a:b].astype(np.uint16)),
-                vocab=_pack6(vocab),
+                vocab=_pack_rising(vocab),
                 word=_squeeze(index[: b - a]),
                 past=_squeeze(index[b - a :]),
             )
@@ -311,14 +315,15 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 
 class Tokens:
-    """The tokens of one shard: ids in ``vocab``, the rest as numbers in it; ``text`` is (number of the pack << 14) | document."""
+    """The tokens of one shard: ids in ``vocab``, the rest as numbers in it; ``text`` is a place in ``texts``, which are (number of the pack << 14) | document, in order."""
 
     def __init__(self, t: pa.Table, order: int):
         rows = [{k: t[k][i].as_py() for k in ("ref", "train", "context", "runs", "doc", "vocab", "word", "past")} for i in range(t.num_rows)]
-        held = [_unpack6(r[k]) for r in rows for k in ("vocab", "context")]
+        held = [_unpack_rising(r[k]) for r in rows for k in ("vocab", "context")]
         self.vocab = np.unique(np.concatenate([*held, [START]]))
         self.ref = np.array([r["ref"] for r in rows], np.int64)
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        texts, n_texts = [], 0
         for i, r in enumerate(rows):
             doc = _unsqueeze(r["doc"], np.uint16)
             own, contexts = (np.searchsorted(self.vocab, x).astype(np.uint32) for x in held[2 * i : 2 * i + 2])
@@ -327,11 +332,18 @@ class Tokens:
             parts[0].append(np.repeat(contexts, _unsqueeze(r["runs"], np.uint32)))
             parts[1].append(own[_unsqueeze(r["word"], kind)])
             parts[2].append(own[_unsqueeze(r["past"], kind)] if order > 2 else np.zeros(len(doc), np.uint32))
-            parts[3].append((i << 14) + doc.astype(np.int64))
+            some, at = np.unique(doc, return_inverse=True)
+            parts[3].append(n_texts + at)
+            texts.append((i << 14) + some.astype(np.int64))
+            n_texts += len(some)
             parts[4].append(flags[doc])
         context, word, past, text, train = (np.concatenate(p) for p in parts)
-        del parts, rows, held
-        at = np.lexsort((past, (context.astype(np.uint64) << np.uint64(32)) | word))
+        self.texts = np.concatenate(texts)
+        del parts, rows, held, texts
+        if len(self.vocab) <= 1 << 21:  # three numbers fit one key
+            at = np.argsort(((context.astype(np.uint64) << np.uint64(42)) | (word.astype(np.uint64) << np.uint64(21))) | past)
+        else:
+            at = np.lexsort((past, (context.astype(np.uint64) << np.uint64(32)) | word))
         self.context, self.word, self.past, self.text, self.train = context[at], word[at], past[at], text[at], train[at]
 
 
@@ -415,7 +427,7 @@ def score_shard(t: Tokens, hot: Hot, mass: float = MASS, order: int = ORDER) ->
     count[asked >= 0] = trie.count[asked[asked >= 0]]
     is_word = c_context != START
     base = np.where(is_word, np.log10(count + 0.5), 0.0)
-    texts, text = np.unique(t.text, return_inverse=True)
+    texts, text = t.texts, t.text
     n = len(texts)
     per = [
         sums(base[row_at], text, n),
@@ -441,7 +453,7 @@ def score_shard(t: Tokens, hot: Hot, mass: float = MASS, order: int = ORDER) ->
     own = have & (often < 0)
     out.append(_rows(1, int(own.sum()), w=c_context[own].view(np.int64), n=n_context[own]))
     lost = np.flatnonzero((~hit & ~direct)[pair_at])
-    at = t.text[lost]
+    at = t.texts[t.text[lost]]
     out.append(_rows(2, len(lost), ref=t.ref[at >> 14] + (at & ((1 << 14) - 1)).astype(np.int64), w=u_word[pair_at[lost]].view(np.int64)))
     return out
 

@@ -228,3 +228,13 @@ def test_special_strings_are_plain_text(spark):
 def test_queries_are_registered():
     assert {"op11_token_alignment", "op12_fill_in_middle", "op13_byte_bpe"} <= queries.QUERIES.keys()
     assert "op12_fill_in_middle" in queries.ORACLES
+
+
+def test_rising_ids_take_less_than_six_bytes():
+    from loomgraph.llm import ngramlm
+
+    rng = np.random.default_rng(4)
+    ids = np.sort(rng.integers(0, 1 << 48, 4_000).astype(np.uint64))
+    for x in (ids, ids[:0], ids[::-1].copy(), np.concatenate([ids[:9], ids[:3], np.array([0, (1 << 48) - 1], np.uint64)])):
+        assert np.array_equal(ngramlm._unpack_rising(ngramlm._pack_rising(x)), x)
+    assert len(ngramlm._pack_rising(ids)) < 5.2 * len(ids)
