@@ -6,14 +6,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.core.order import dense_index
 from loomgraph.core.session import cut
+from loomgraph.core.skew import lookup
 from loomgraph.operators.registration import EPS, assign_to_poles, correlation_to
 
 SLICE = 50_000  # genes compared against at a time
+LISTED = 1 << 18  # pairs that a task holds a sum for; more are joined
+CELLS = 1 << 21  # numbers of a block of fields, and of its pairs, that a task holds
 
 
 def bounded_pairs(stats: DataFrame, coords: Sequence[str], most: int) -> DataFrame:
@@ -52,10 +56,13 @@ def bounded_pairs(stats: DataFrame, coords: Sequence[str], most: int) -> DataFra
 
 
 def pair_correlations(pairs: DataFrame, fields: DataFrame, moments: DataFrame) -> DataFrame:
-    """Field correlation of the listed pairs (absent entries are 0)."""
-    a = fields.select(F.col("gene").alias("a"), "node_id", F.col("f").alias("fa"))
-    b = fields.select(F.col("gene").alias("b"), "node_id", F.col("f").alias("fb"))
-    cross = pairs.select("a", "b").join(a, "a").join(b, ["b", "node_id"]).groupBy("a", "b").agg(F.sum(F.col("fa") * F.col("fb")).alias("c"))
+    """Field correlation of the listed pairs (absent entries are 0).
+
+    Fields meet once per node: a task lays a few nodes' fields side by side and
+    returns one sum per pair, so no row per pair and node is formed.  More than
+    ``LISTED`` pairs are joined.
+    """
+    cross = _joined_sums(pairs, fields) if pairs.limit(LISTED + 1).count() > LISTED else _block_sums(pairs, fields)
     ma = moments.select(F.col("gene").alias("a"), F.col("m").alias("ma"), F.col("sd").alias("sa"), "n")
     mb = moments.select(F.col("gene").alias("b"), F.col("m").alias("mb"), F.col("sd").alias("sb"))
     x = pairs.join(cross, ["a", "b"], "left").join(ma, "a").join(mb, "b")
@@ -63,6 +70,53 @@ def pair_correlations(pairs: DataFrame, fields: DataFrame, moments: DataFrame) -
     return x.withColumn("corr", F.when((F.col("sa") > 0) & (F.col("sb") > 0), cov / (F.col("sa") * F.col("sb"))).otherwise(0.0))
 
 
+def _joined_sums(pairs: DataFrame, fields: DataFrame) -> DataFrame:
+    a = fields.select(F.col("gene").alias("a"), "node_id", F.col("f").alias("fa"))
+    b = fields.select(F.col("gene").alias("b"), "node_id", F.col("f").alias("fb"))
+    return pairs.select("a", "b").join(a, "a").join(b, ["b", "node_id"]).groupBy("a", "b").agg(F.sum(F.col("fa") * F.col("fb")).alias("c"))
+
+
+def _block_sums(pairs: DataFrame, fields: DataFrame) -> DataFrame:
+    """(a, b, c): sums of products over the nodes, at most ``LISTED`` pairs."""
+    spark = pairs.sparkSession
+    listed = pairs.select("a", "b").distinct().orderBy("a", "b").toPandas()  # at most LISTED rows
+    named = np.unique(listed[["a", "b"]].to_numpy().reshape(-1).astype(str)) if len(listed) else np.zeros(0, str)
+    code = {g: i for i, g in enumerate(named)}
+    ends = (np.array([code[g] for g in listed["a"]], np.int64), np.array([code[g] for g in listed["b"]], np.int64))
+    numbers = spark.createDataFrame([(str(g), i) for g, i in code.items()], "gene string, code int")
+    held = spark.sparkContext.broadcast(ends)
+    wide = max(1, len(named))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = held.value
+        total = np.zeros(len(left))
+        for batch in batches:
+            values = batch.column(0)
+            flat, start = values.flatten(), values.offsets.to_numpy().astype(np.int64)
+            start = start - start[0]
+            codes, f = flat.field("code").to_numpy(), flat.field("f").to_numpy()
+            step = max(1, CELLS // wide)
+            for lo in range(0, len(batch), step):
+                hi = min(lo + step, len(batch))
+                rows = np.repeat(np.arange(hi - lo), np.diff(start[lo : hi + 1]))
+                block = np.zeros((wide, hi - lo))
+                np.add.at(block, (codes[start[lo] : start[hi]], rows), f[start[lo] : start[hi]])
+                if len(left) * 8 >= wide * wide:  # most pairs are listed: one product for all
+                    total += (block @ block.T)[left, right]
+                else:
+                    many = max(1, CELLS // (hi - lo))
+                    for at in range(0, len(left), many):
+                        total[at : at + many] += np.einsum("pn,pn->p", block[left[at : at + many]], block[right[at : at + many]])
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["pair", "c"])
+
+    x = lookup(fields.select("gene", "node_id", "f").where("node_id is not null"), numbers, "gene")
+    each = x.groupBy("node_id").agg(F.collect_list(F.struct("code", "f")).alias("values")).select("values")
+    sums = each.mapInArrow(summed, "pair long, c double").groupBy("pair").agg(F.sum("c").alias("c"))
+    order = spark.createDataFrame([(str(r.a), str(r.b), i) for i, r in enumerate(listed.itertuples(index=False))], "a string, b string, pair long")
+    return order.join(sums, "pair").drop("pair")
+
+
 def anchor_pair(stats: DataFrame, fields: DataFrame, moments: DataFrame, coords: Sequence[str], first: int = 1_024) -> dict:
     """The pair with the largest separation x sqrt(rank rank) x (1 - overlap).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.core.order import average_ranks, dense_index
 from loomgraph.core.session import cut
-from loomgraph.core.skew import lookup
+from loomgraph.core.skew import HOT_ROWS, MAX_HOT, lookup
 from loomgraph.functions.num import huber
 from loomgraph.operators import knn as N
 from loomgraph.operators.ranks import largest_remainder
@@ -71,14 +71,18 @@ def pole_fields(points: DataFrame, counts: DataFrame, coords: Sequence[str], k:
     Only entries above zero are kept: a node without a detecting neighbour has
     field 0 and adds nothing to any of the sums below.
     """
-    seen = counts.where(F.col("n") > 0).select("node_id", "gene").distinct()
+    seen = cut(counts.where(F.col("n") > 0).select("node_id", "gene").distinct())
     genes = seen.groupBy("gene").agg(F.count(F.lit(1)).alias("abundance")).where(F.col("abundance") >= least)
-    seen = lookup(seen, genes, "gene")
-    near = N.knn(points, k, coords, include_self=True)
-    size = near.groupBy("node_id").agg(F.count(F.lit(1)).alias("k"))
-    hits = near.select("node_id", "nbr").join(seen.select(F.col("node_id").alias("nbr"), "gene", "abundance"), "nbr")
-    f = hits.groupBy("gene", "node_id").agg(F.count(F.lit(1)).alias("h"), F.first("abundance").alias("abundance"))
-    return f.join(size, "node_id").select("gene", "node_id", (F.col("h") / F.col("k")).alias("f"), "abundance")
+    genes = cut(dense_index(genes, ["gene"], "code").withColumn("code", F.col("code").cast("int")))
+    # a gene has at most k rows for each node that detects it, so the heavy ones are known
+    heavy = genes.where(F.col("abundance") * k >= HOT_ROWS).orderBy(F.desc("abundance"), "code").limit(MAX_HOT).collect()
+    seen = lookup(seen, genes.select("gene", "code"), "gene", "inner", [r["gene"] for r in heavy])
+    # a node's genes travel as one list of numbers and are counted where their neighbours meet
+    held = seen.join(points.select("node_id"), "node_id", "left_semi").groupBy(F.col("node_id").alias("nbr")).agg(F.collect_list("code").alias("codes"))
+    near = cut(N.knn(points, k, coords, include_self=True).where("node_id is not null").select("node_id", "nbr"))
+    hits = lookup(near, held, "nbr", "left").groupBy("node_id").agg(F.count(F.lit(1)).alias("k"), F.flatten(F.collect_list("codes")).alias("codes"))
+    f = hits.select("node_id", "k", F.explode("codes").alias("code")).groupBy("node_id", "k", "code").agg(F.count(F.lit(1)).alias("h"))
+    return lookup(f, genes, "code", "inner", [r["code"] for r in heavy]).select("gene", "node_id", (F.col("h") / F.col("k")).alias("f"), "abundance")
 
 
 def pole_statistics(points: DataFrame, fields: DataFrame, coords: Sequence[str]) -> DataFrame:

@@ -82,8 +82,9 @@ def pole_anchor_pair(spark, folder):
 def pole_pairs(spark, folder):
     from loomgraph.core.session import cut
 
-    p, f = _fields(spark, folder)
-    f = cut(f)
+    # every detection of every hub, whatever its count; hubs without a point count for a gene's abundance
+    p = T.points(spark, folder, 2)
+    f = cut(R.pole_fields(p, T.hub_counts(spark, folder).withColumnRenamed("hub", "node_id"), XY, 15))
     pairs = P.pole_pairs(_ranked(p, f), f, R.field_moments(p, f), XY, 2, 3)
     P.check_disjoint(pairs)
     return pairs
