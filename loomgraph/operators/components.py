@@ -36,6 +36,18 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, for nodes 0 to n - 1 and edges (u, v)."""
+    root = np.arange(n)
+    while len(u):
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return root
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every node of the pairs (u, v) but the smallest of its component, attached to that one."""
     held = list(batches)
@@ -43,14 +55,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     pairs = pa.Table.from_batches(held)
     names, code = np.unique(np.concatenate([pairs.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
-    u, v = code[: len(pairs)], code[len(pairs) :]
-    root = np.arange(len(names))
-    while len(u):
-        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
-        while (root[root] != root).any():
-            root = root[root]
-        apart = root[u] != root[v]
-        u, v = u[apart], v[apart]
+    root = roots(len(names), code[: len(pairs)], code[len(pairs) :])
     moved = np.flatnonzero(root != np.arange(len(names)))
     schema = pairs.schema
     yield pa.RecordBatch.from_arrays([pa.array(names[moved], schema.field("u").type), pa.array(names[root[moved]], schema.field("v").type)], ["u", "v"])
