@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -39,6 +40,10 @@ AUCTION_ROUNDS = 32
 MAX_PAIRS = 1 << 20
 # Kinds of rows (column, equally cheap columns) looked at for one move in a step, the commonest first.
 KINDS = 8
+# Arcs of a problem that one task holds; larger problems take the same steps as joins.
+ARCS = 1 << 22
+# Columns whose set fits a word.
+WORD = 62
 # No way between two columns.
 FAR = np.int64(1 << 62)
 
@@ -65,6 +70,9 @@ def auction(
     limit = (2 * n_rows + 1) * (spread * scale + step)
     cols = cut(capacity.where("capacity > 0").select("b", "capacity"))
     arcs = arcs.join(cols.select("b"), "b", "left_semi")
+    whole = dict(arcs.dtypes)["unit_cost"] in ("int", "bigint") and limit < 1 << 62 and not arcs.where("unit_cost is null or a is null").limit(1).count()
+    if whole and _held_by_tasks(arcs, keys) and cols.count() == cols.select("b").distinct().count():
+        return _auction_in_tasks(cut(arcs), cols, keys, limit, spread * scale + step, step, max_rounds)
     all_rows = cut(arcs.select(*keys, "a").distinct())
     held = all_rows.limit(0).select(*keys, "a", F.lit(0).cast(dict(arcs.dtypes)["b"]).alias("b"), F.lit(0).cast("long").alias("bid"))
     price = arcs.limit(0).select(*keys, "b", F.lit(0).cast("long").alias("price"))
@@ -236,6 +244,155 @@ def _flow(kinds: list[tuple[int, tuple[int, ...], int]], excess: np.ndarray, spa
             held[to] = held.get(to, 0) + n
 
 
+def _held_by_tasks(arcs: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether no problem has more than ``ARCS`` arcs."""
+    return not arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ARCS).limit(1).count()
+
+
+def _top(rank: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorting by (rank, *order), and where in it each rank begins."""
+    by = np.lexsort((*reversed(order), rank))
+    return by, np.flatnonzero(np.r_[True, rank[by][1:] != rank[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+
+
+def _bids(row: np.ndarray, col: np.ndarray, value: np.ndarray, capacity: np.ndarray, limit: int, alone: int, step: int, max_rounds: int) -> tuple[np.ndarray, int]:
+    """The rounds of ``auction`` for one problem: each row's column, -1 without a place, and the rounds, 0 if rows still bid.
+
+    ``row`` and ``col`` are numbers in order of a and b, ``row`` is sorted.
+    """
+    n = int(row[-1]) + 1 if len(row) else 0
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if n else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(row)])
+    at, bid, lost, price = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(len(capacity), np.int64)
+    for done in range(1, max_rounds + 1):
+        free = np.flatnonzero((at < 0) & ~lost)
+        if not len(free):
+            return at, done
+        arc = np.repeat(first[free] - np.r_[0, np.cumsum(count[free])[:-1]], count[free]) + np.arange(count[free].sum())
+        net = value[arc] - price[col[arc]]
+        by, head = _top(row[arc], -net, col[arc])
+        best, several = arc[by[head]], count[free] > 1
+        top = net[by[head]]
+        second = net[by[np.where(several, head + 1, head)]]
+        offer = price[col[best]] + np.where(several, top - second, alone) + step
+        lost[free[offer > limit]] = True
+        good = offer <= limit
+        at[free[good]], bid[free[good]] = col[best[good]], offer[good]
+        held = np.flatnonzero(at >= 0)
+        by, head = _top(at[held], -bid[held], held)
+        held = held[by]
+        place = np.arange(len(held)) - np.repeat(head, np.diff(np.r_[head, len(held)]))
+        out = held[place >= capacity[at[held]]]
+        last = held[place == capacity[at[held]] - 1]
+        price[:] = 0
+        price[at[last]] = bid[last]
+        at[out] = -1
+    return at, 0
+
+
+def _auction_in_tasks(arcs: DataFrame, cols: DataFrame, keys: list[str], limit: int, alone: int, step: int, max_rounds: int) -> tuple[DataFrame, DataFrame, int]:
+    """``auction`` with each problem in one task; the number of rows and the spread are those of all problems."""
+    places = cols.orderBy("b").collect()
+    names, capacity = np.array([r["b"] for r in places], np.int64), np.array([r["capacity"] for r in places], np.int64)
+    schema = StructType([*[arcs.schema[k] for k in keys], arcs.schema["a"], arcs.schema["b"], StructField("rounds", IntegerType())])
+
+    def solved(table: pa.Table) -> pa.Table:
+        a, b, value = (table.column(c).to_numpy() for c in ("a", "b", "value"))
+        key = [table.column(k)[0].as_py() for k in keys]
+        name, row = np.unique(a, return_inverse=True)
+        by = np.argsort(row, kind="stable")
+        at, rounds = _bids(row[by], np.searchsorted(names, b[by]), value[by], capacity, limit, alone, step, max_rounds)
+        got = pa.array(names[np.maximum(at, 0)] if len(names) else at, mask=at < 0)
+        types = [table.schema.field(c).type for c in (*keys, "a", "b")]
+        columns = [pa.array([k] * len(name), t) for k, t in zip(key, types)]
+        return pa.Table.from_arrays([*columns, pa.array(name, types[-2]), got.cast(types[-1]), pa.array(np.full(len(name), rounds, np.int32))], schema_names)
+
+    schema_names = [f.name for f in schema.fields]
+    found = cut(arcs.select(*keys, "a", "b", "value").groupBy(*keys).applyInArrow(solved, schema))
+    low, high = found.agg(F.min("rounds"), F.max("rounds")).first()
+    if low == 0:
+        raise StillBidding(f"rows still bid after {max_rounds} rounds")
+    held = found.where("b is not null").select(*keys, "a", "b")
+    out = held.join(arcs.select(*keys, "a", "b", "unit_cost"), [*keys, "a", "b"])
+    return out.select(*keys, "a", "b", "unit_cost"), found.where("b is null").select(*keys, "a"), high or 1
+
+
+def _prices(row: np.ndarray, ix: np.ndarray, cost: np.ndarray, room: np.ndarray, max_steps: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The steps of ``settled`` for one problem: each row's column, the prices, and the steps; arcs in order of (row, ix)."""
+    size = len(room)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    by, _ = _top(row, cost, ix)
+    at = ix[by[first]]
+    used, price, steps = np.bincount(at, minlength=size), np.zeros(size, np.int64), 0
+    bits = np.left_shift(np.int64(1), ix.astype(np.int64))
+    while (used > room).any():
+        steps += 1
+        if steps > max_steps:
+            raise RuntimeError(f"no optimum after {max_steps} steps")
+        full = cost + price[ix]
+        here = at[row]
+        away = ix != here
+        reach = np.full(size * size, FAR)
+        np.minimum.at(reach, here[away] * size + ix[away], (full - np.minimum.reduceat(full, first)[row])[away])
+        rise = _raised(reach.reshape(size, size), used - room, room - used)
+        if rise is None:
+            break
+        price += rise
+        full = cost + price[ix]
+        equal = away & (full == np.minimum.reduceat(full, first)[row])
+        open_to = np.bitwise_or.reduceat(np.where(equal, bits, 0), first)
+        some = np.flatnonzero(open_to)
+        by = some[np.lexsort((some, open_to[some], at[some]))]
+        head = np.flatnonzero(np.r_[True, (at[by][1:] != at[by][:-1]) | (open_to[by][1:] != open_to[by][:-1])]) if len(by) else np.zeros(0, np.int64)
+        rows_of = {(int(at[r[0]]), tuple(y for y in range(size) if int(open_to[r[0]]) >> y & 1)): r for r in np.split(by, head[1:])} if len(by) else {}
+        common: dict[tuple, list] = {}
+        for (x, columns), r in rows_of.items():
+            for y in columns:
+                common.setdefault((x, y), []).append((-len(r), columns))
+        found = {(x, columns, -n) for (x, _), kinds in common.items() for n, columns in sorted(kinds)[:KINDS]}
+        moved = _flow(sorted(found), np.maximum(used - room, 0), np.maximum(room - used, 0))
+        for kind, to in moved.items():
+            start, rows = 0, rows_of[kind]  # in order of a
+            for y, n in sorted(to.items()):
+                at[rows[start : start + n]] = y
+                start += n
+        used = np.bincount(at, minlength=size)
+    return at, price, steps
+
+
+def _settled_in_tasks(arcs: DataFrame, number: DataFrame, names: list, room: np.ndarray, keys: list[str], max_steps: int) -> Optimum:
+    """``settled`` with each problem in one task."""
+    known = arcs.where("a is not null and unit_cost is not null").join(F.broadcast(number), "b").select(*keys, "a", "ix", F.col("unit_cost").cast("long").alias("cost"))
+    fields = [*[arcs.schema[k] for k in keys], arcs.schema["a"], StructField("b", LongType()), StructField("price", LongType()), StructField("steps", IntegerType())]
+    labels = [f.name for f in fields]
+    columns = np.array(names, np.int64)
+
+    def solved(table: pa.Table) -> pa.Table:
+        key = [table.column(k)[0].as_py() for k in keys]
+        types = [table.schema.field(c).type for c in (*keys, "a")]
+        name, row = np.unique(table.column("a").to_numpy(), return_inverse=True)
+        ix, cost = table.column("ix").to_numpy().astype(np.int64), table.column("cost").to_numpy()
+        by = np.lexsort((cost, ix, row))
+        row, ix, cost = row[by], ix[by], cost[by]
+        one = np.r_[True, (row[1:] != row[:-1]) | (ix[1:] != ix[:-1])]  # the cheapest of equal arcs
+        at, price, steps = _prices(row[one], ix[one], cost[one], room, max_steps)
+        by, head = _top(at, np.arange(len(at)))
+        place = np.arange(len(by)) - np.repeat(head, np.diff(np.r_[head, len(by)]))
+        stay = np.sort(by[place < room[at[by]]])
+        n = len(stay) + len(columns)
+        none = np.arange(n) >= len(stay)
+        a = pa.array(np.r_[name[stay], np.zeros(len(columns), name.dtype)], types[-1], mask=none)
+        b = pa.array(np.r_[columns[at[stay]], columns])
+        paid = pa.array(np.r_[np.zeros(len(stay), np.int64), price], mask=~none)
+        return pa.Table.from_arrays([*[pa.array([k] * n, t) for k, t in zip(key, types)], a, b, paid, pa.array(np.full(n, steps, np.int32))], labels)
+
+    found = cut(known.groupBy(*keys).applyInArrow(solved, StructType(fields)))
+    held = found.where("price is null").select(*keys, "a", "b")
+    rest = cut(arcs.select(*keys, "a").distinct().join(held, [*keys, "a"], "left_anti"))
+    out = held.join(arcs, [*keys, "a", "b"]).select(*keys, "a", "b", "unit_cost")
+    return Optimum(out, found.where("price is not null").select(*keys, "b", "price"), rest, found.agg(F.max("steps")).first()[0] or 0)
+
+
 def settled(arcs: DataFrame, cols: DataFrame, keys: Sequence[str] = (), max_steps: int = 10_000) -> Optimum:
     """The optimum by prices that rise and rows that follow (primal-dual), without bids.
 
@@ -252,6 +409,8 @@ def settled(arcs: DataFrame, cols: DataFrame, keys: Sequence[str] = (), max_step
     places = cols.groupBy("b").agg(F.sum("capacity").alias("capacity")).orderBy("b").collect()
     number = spark.createDataFrame([(r["b"], i) for i, r in enumerate(places)], "b long, ix int")
     room, size = np.array([r["capacity"] for r in places], np.int64), len(places)
+    if size <= WORD and _held_by_tasks(arcs, keys):
+        return _settled_in_tasks(arcs, number, [r["b"] for r in places], room, keys, max_steps)
     known = arcs.where("a is not null and unit_cost is not null").groupBy(*keys, "a", "b").agg(F.min("unit_cost").alias("cost"))
     rows = known.join(F.broadcast(number), "b").groupBy(*keys, "a").agg(F.array_sort(F.collect_list(F.struct("ix", "cost"))).alias("offers"))
     rows = cut(rows.withColumn("at", F.array_min(F.transform("offers", lambda s: F.struct(s["cost"], s["ix"])))["ix"]))
