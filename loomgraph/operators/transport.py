@@ -313,7 +313,7 @@ def _auction_in_tasks(arcs: DataFrame, cols: DataFrame, keys: list[str], limit:
     if low == 0:
         raise StillBidding(f"rows still bid after {max_rounds} rounds")
     held = found.where("b is not null").select(*keys, "a", "b")
-    out = held.join(arcs.select(*keys, "a", "b", "unit_cost"), [*keys, "a", "b"])
+    out = held.join(arcs.select(*keys, "a", "b", "unit_cost").hint("merge"), [*keys, "a", "b"])
     return out.select(*keys, "a", "b", "unit_cost"), found.where("b is null").select(*keys, "a"), high or 1
 
 
@@ -388,8 +388,9 @@ def _settled_in_tasks(arcs: DataFrame, number: DataFrame, names: list, room: np.
 
     found = cut(known.groupBy(*keys).applyInArrow(solved, StructType(fields)))
     held = found.where("price is null").select(*keys, "a", "b")
-    rest = cut(arcs.select(*keys, "a").distinct().join(held, [*keys, "a"], "left_anti"))
-    out = held.join(arcs, [*keys, "a", "b"]).select(*keys, "a", "b", "unit_cost")
+    # sizes are underestimated behind an explode: without the hint the driver would hold the rows for a broadcast
+    rest = cut(arcs.select(*keys, "a").distinct().join(held.hint("merge"), [*keys, "a"], "left_anti"))
+    out = held.join(arcs.hint("merge"), [*keys, "a", "b"]).select(*keys, "a", "b", "unit_cost")
     return Optimum(out, found.where("price is not null").select(*keys, "b", "price"), rest, found.agg(F.max("steps")).first()[0] or 0)
 
 
@@ -602,7 +603,7 @@ def ensemble(
     solved = optimal(member_costs(arcs, members, mode, size, seed), capacity, ["member"])
     if solved.rest.limit(1).count():
         raise ValueError("the candidates leave rows without a place")
-    base = cut(solved.assigned.drop("unit_cost").join(arcs, ["a", "b"]))
+    base = cut(solved.assigned.drop("unit_cost").join(arcs.hint("merge"), ["a", "b"]))
     marks = assignment_hash(base, ["member"])  # one row a member
     first = marks.groupBy("hash").agg(F.min(F.struct("objective", "member")).alias("m")).select("m.*")
     best = first.agg(F.min("objective").alias("best"))
